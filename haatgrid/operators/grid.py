@@ -13,14 +13,14 @@ def distinct_readings(df: DataFrame, keys: list[str], day: Column, value: str) -
     day's distinct readings. Rows with a null key, day or value are no readings. Repeats are recognised by
     a 64-bit hash of the remaining columns, so a narrow row is shuffled; the first exchange is spread
     over whole rows, so a series that holds a large part of the rows is collapsed before its days meet,
-    and at most one row a day reaches the exchange by series.
+    and only distinct readings reach the exchange by series, which later windows over the series reuse.
     """
     rest = [c for c in df.columns if c not in {*keys, value}]
     slim = df.select(*keys, day.alias("day"), F.col(value).alias("value"), F.xxhash64(*rest).alias("rest") if rest else F.lit(0).alias("rest"))
     for c in (*keys, "day", "value"):
         slim = slim.filter(F.col(c).isNotNull())
     once = slim.groupBy(*keys, "day", "value", "rest").agg(F.lit(1).alias("one"))
-    return once.groupBy(*keys, "day").agg(F.sum("value").alias("total"), F.sum("one").alias("n"))
+    return once.repartition(*keys).groupBy(*keys, "day").agg(F.sum("value").alias("total"), F.sum("one").alias("n"))
 
 
 def grid_series(readings: DataFrame, keys: list[str], day: str, value: str, fill_days: int = 3, start: int | None = None, end: int | None = None) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import distinct_readings, grid_series, rolling_totals
+from ..operators.aliases import resolve_markets
 from ..operators.near import near_pairs
-from ..util import day_number, key_of_day, table
+from ..operators.spikes import implausible
+from ..operators.units import anchors, narrow, other_units, split_hot
+from ..util import cut, day_number, key_of_day, small, table
 
 SERIES = ["market_key", "commodity_key"]
 
@@ -51,7 +54,30 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_near(spark, sf_dir).select("market_key_a", "market_key_b").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p6_found": p6_found, "p6_rolling": p6_rolling, "p7_found": p7_found, "p7_near": p7_near}
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of mandi_prices ready for units and spikes. The register names every spelling that occurs."""
+    prices = table(spark, sf_dir, "mandi_prices")
+    ids = cut(resolve_markets(table(spark, sf_dir, "market_names"), table(spark, sf_dir, "dim_market")))
+    return split_hot(cut(narrow(prices, small(ids), small(cut(anchors(prices))))))
+
+
+def p3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible(_narrow(spark, sf_dir)).withColumns({"price": F.round("price", 4), "level": F.round("level", 4)})
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_flags(spark, sf_dir).select("raw_id").distinct()
+
+
+def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return other_units(_narrow(spark, sf_dir)).withColumns({c: F.round(c, 4) for c in ("modal_price", "min_price", "max_price")})
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_units(spark, sf_dir).select("raw_id", "unit").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p3_flags": p3_flags, "p5_found": p5_found, "p5_units": p5_units, "p1_found": p1_found, "p1_grid": p1_grid, "p6_found": p6_found, "p6_rolling": p6_rolling, "p7_found": p7_found, "p7_near": p7_near}
 
 _READINGS = """r0 as (select distinct f.*, d.calendar_date as day from fact_daily_price f join dim_date d using (date_key) where modal_price is not null),
 r as (select market_key, commodity_key, day, cast(sum(cast(modal_price * 100 as bigint)) as bigint) as total, count(*) as n from r0 group by all)"""
