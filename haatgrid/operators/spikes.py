@@ -21,7 +21,8 @@ class SpikeModel:
     side: int = 5  #: reports on either side that give the level
     rounds: int = 3  #: rounds of the search for outliers
     stuck: int = 8  #: equal reports in a row that make a stuck run
-    seldom: float = 0.12  #: share of repeated prices, outside of stuck runs, of a source that seldom repeats its price
+    seldom: float = 0.25  #: share of repeated prices, outside of a stuck run, up to which a source seldom repeats its price
+    evidence: int = 4  #: pairs of reports outside of the run that are needed to tell
     upper: float = 1e6  #: prices from here on are impossible, as are those up to zero
 
 
@@ -104,7 +105,9 @@ def spike_flags(value: np.ndarray, group: np.ndarray, anchor: np.ndarray, m: Spi
 
 
 def stuck_flags(price: np.ndarray, group: np.ndarray, m: SpikeModel = SpikeModel()) -> np.ndarray:
-    """Elements in runs of at least ``stuck`` equal values of a series that otherwise seldom repeats its value."""
+    """Elements in runs of at least ``stuck`` equal values of a series that seldom repeats its value outside of that run.
+
+    A series must have ``evidence`` pairs of consecutive reports outside of the run to tell."""
     n = len(price)
     if not n:
         return np.zeros(0, bool)
@@ -112,13 +115,13 @@ def stuck_flags(price: np.ndarray, group: np.ndarray, m: SpikeModel = SpikeModel
     head[1:] = (group[1:] != group[:-1]) | (price[1:] != price[:-1])
     run = np.cumsum(head) - 1
     length = np.bincount(run)
-    long = length[run] >= m.stuck
     groups = int(group[-1]) + 1
-    pairs = np.zeros(n, bool)
-    pairs[1:] = (group[1:] == group[:-1]) & ~(long[1:] & ~head[1:])
-    repeats = pairs & ~head
-    share = np.bincount(group, repeats, groups) / np.maximum(np.bincount(group, pairs, groups), 1)
-    return long & (share[group] <= m.seldom)
+    own = length - 1  # repeats within each run
+    pairs = np.bincount(group, minlength=groups) - 1
+    repeats = pairs - (np.bincount(group, head, groups) - 1)
+    others = pairs[group] - own[run]
+    share = (repeats[group] - own[run]) / np.maximum(others, 1)
+    return (length[run] >= m.stuck) & (others >= m.evidence) & (share <= m.seldom)
 
 
 def judge(c: dict[str, np.ndarray], m: SpikeModel = SpikeModel()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
