@@ -16,11 +16,20 @@ GENERIC = (
     "mandi samiti", "a p m c", "k u m", "apmc", "mkt yard", "market yard",
 )
 #: Short forms written for a word.
-SHORT = {"khd": "khurd", "kln": "kalan", "rd": "road", "bzr": "bazar", "bazaar": "bazar", "mkt": "market", "yd": "yard", "ctrl": "central", "mn": "main", "agri": "agri"}
+SHORT = {
+    "khd": "khurd", "khrd": "khurd", "kln": "kalan", "kal": "kalan", "rd": "road", "bzr": "bazar", "bazaar": "bazar", "mkt": "market", "yd": "yard", "ctrl": "central", "mn": "main",
+    "kanda": "onion", "onions": "onion", "anaj": "grain", "grains": "grain", "grn": "grain", "fv": "f v", "subyard": "sub yard",
+}
+#: Other words for a yard, as token sequences.
+PHRASES = {"s y": "sub yard", "m yard": "main yard", "mukhya yard": "main yard", "veg and fruits": "f v", "fruit and veg": "f v", "fruits and vegetables": "f v", "fruit veg": "f v"}
+#: Endings of place names that are written in several ways.
+ENDINGS = {"gaum": "gaon", "gav": "gaon", "gunj": "ganj", "nagger": "nagar", "gadh": "garh", "kheda": "khera", "kera": "khera", "pura": "pur", "ally": "alli"}
 #: Words that tell apart the yards of one town.
-QUALIFIER = ("main yard", "sub yard", "onion", "grain", "f v", "fruit veg", "khurd", "kalan", "road", "bazar", "new")
+QUALIFIER = ("main yard", "sub yard", "onion", "grain", "f v", "khurd", "kalan", "road", "bazar", "new")
 
 _GENERIC = re.compile(r"\b(?:" + "|".join(sorted(GENERIC, key=len, reverse=True)) + r")\b")
+_PHRASE = re.compile(r"\b(?:" + "|".join(PHRASES) + r")\b")
+_ENDING = re.compile("(?:" + "|".join(ENDINGS) + ")$")
 _QUALIFIER = re.compile(r"\b(?:" + "|".join(QUALIFIER) + r")\b")
 
 
@@ -36,6 +45,7 @@ def split_name(name: str | None) -> tuple[str, str]:
     w = words(name)
     plain = _GENERIC.sub(" ", w)
     plain = " ".join(SHORT.get(t, t) for t in plain.split())
+    plain = _PHRASE.sub(lambda m: PHRASES[m.group()], plain)
     found = sorted(_QUALIFIER.findall(plain))
     place = " ".join(_QUALIFIER.sub(" ", plain).split())
     if not place:
@@ -44,8 +54,10 @@ def split_name(name: str | None) -> tuple[str, str]:
 
 
 def fold(place: str) -> str:
-    """Place without blanks and with letters that are heard alike written alike: long vowels, v and w, doubled letters."""
-    s = place.replace(" ", "").replace("ee", "i").replace("oo", "u").replace("w", "v").replace("ph", "f")
+    """Place without blanks and with letters that are heard alike written alike: long vowels, v and w, doubled letters,
+    and endings written in several ways."""
+    s = _ENDING.sub(lambda m: ENDINGS[m.group()], place.replace(" ", ""))
+    s = s.replace("ee", "i").replace("oo", "u").replace("w", "v").replace("ph", "f")
     return re.sub(r"(.)\1+", r"\1", s)
 
 
