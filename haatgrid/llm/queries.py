@@ -13,27 +13,29 @@ from .quantiles import merge_sketches, percentiles, sketch_groups
 from .subjects import SHARE, subject_shares
 
 
-def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "mandi_prices").select("state", "commodity", F.trunc("arrival_date", "month").alias("month"), "modal_price")
-    return sketch_groups(p, ["state", "commodity", "month"], "modal_price")
+_SERIES = ["state", "commodity"]
 
 
-def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per state, commodity and month."""
-    return percentiles(_months(spark, sf_dir), ["state", "commodity", "month"])
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of single days."""
+    return sketch_groups(table(spark, sf_dir, "mandi_prices").select(*_SERIES, "arrival_date", "modal_price"), [*_SERIES, "arrival_date"], "modal_price")
 
 
-def p2_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per state, commodity and year, from the merged sketches of the months."""
-    x = _months(spark, sf_dir).withColumn("year", F.year("month"))
-    return percentiles(merge_sketches(x, ["state", "commodity", "year"]), ["state", "commodity", "year"])
+def p2_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per state, commodity and day."""
+    return percentiles(_days(spark, sf_dir), [*_SERIES, "arrival_date"])
 
 
-def p2_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per state and commodity over all time, from the merged sketches of single days."""
-    keys = ["state", "commodity"]
-    days = sketch_groups(table(spark, sf_dir, "mandi_prices").select(*keys, "arrival_date", "modal_price"), [*keys, "arrival_date"], "modal_price")
-    return percentiles(merge_sketches(days, keys), keys)
+def p2_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per state, commodity and month, from the merged sketches of the days."""
+    keys = [*_SERIES, "month"]
+    return percentiles(merge_sketches(_days(spark, sf_dir).withColumn("month", F.trunc("arrival_date", "month")), keys), keys)
+
+
+def p2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per state and commodity, from the merged sketches of the months of the rows."""
+    p = table(spark, sf_dir, "mandi_prices").select(*_SERIES, F.trunc("arrival_date", "month").alias("month"), "modal_price")
+    return percentiles(merge_sketches(sketch_groups(p, [*_SERIES, "month"], "modal_price"), _SERIES), _SERIES)
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +97,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_years, p2_days, p4_found, p4_links, p8_found, p8_leaks, p9_mix, p9_shares, p9_shares_full, p10_found, p10_shares, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_days, p2_months, p2_all, p4_found, p4_links, p8_found, p8_leaks, p9_mix, p9_shares, p9_shares_full, p10_found, p10_shares, p10_composition)}
 SQL: dict[str, str] = {}
