@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, saved
 
-MODULES = [problems]
+MODULES = [problems, saved]
 
 
 def queries() -> dict:
