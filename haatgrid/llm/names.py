@@ -168,15 +168,16 @@ def _weigh(scored: DataFrame, n: DataFrame, a: DataFrame, reports: DataFrame) ->
     pairs = contested.select(F.concat(F.lit("n"), "id").alias("x"), F.concat(F.lit("e"), "entity").alias("y"), "id", "entity").distinct()
     # a name equal to the entity's own spelling is no evidence against itself
     own = side.alias("p").join(side.alias("q"), [F.col(f"p.{c}") == F.col(f"q.{c}") for c in name]).select(F.col("p.who").alias("x"), F.col("q.who").alias("y"))
+    itself = pairs.join(own, ["x", "y"], "left_semi").select("id", "entity", F.lit(True).alias("itself"))
     pairs = pairs.join(own, ["x", "y"], "left_anti")
     both = pairs.join(r.select(F.col("who").alias("x"), "series", "at"), "x")
     clash = both.join(r.select(F.col("who").alias("y"), "at"), ["y", "at"], "left_semi").groupBy("id", "entity").agg(F.count("*").alias("clashes"))
     series = r.select("who", "series").distinct()
     shared = both.join(series.select(F.col("who").alias("y"), "series"), ["y", "series"], "left_semi").groupBy("id", "entity").agg(F.count("*").alias("hits"))
     total = r.filter(F.col("who").startswith("n")).groupBy("who").agg(F.count("*").alias("n")).select(F.substring("who", 2, 40).cast("long").alias("id"), "n")
-    w = scored.join(clash, ["id", "entity"], "left").join(shared, ["id", "entity"], "left").join(total, "id", "left")
+    w = scored.join(itself, ["id", "entity"], "left").join(clash, ["id", "entity"], "left").join(shared, ["id", "entity"], "left").join(total, "id", "left")
     part = F.coalesce(F.col("hits") / F.greatest(F.col("n"), F.lit(1)), F.lit(0.0))
-    w = w.withColumn("cost", F.col("cost") + F.when(F.col("rivals") > 1, F.when(F.coalesce("clashes", F.lit(0)) > 0, 5.0).otherwise(1.5 * (1 - part))).otherwise(0.0))
+    w = w.withColumn("cost", F.col("cost") + F.when((F.col("rivals") > 1) & F.col("itself").isNull(), F.when(F.coalesce("clashes", F.lit(0)) > 0, 5.0).otherwise(1.5 * (1 - part))).otherwise(0.0))
     return w.select("id", "entity", "cost", "rivals")
 
 
