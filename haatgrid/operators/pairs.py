@@ -46,8 +46,12 @@ def directed(spread: DataFrame, s: Settings = Settings(), rounded: bool = True)
     two = spread.select(*keep, F.col("market_key_b").alias("home_market_key"), F.col("market_key_a").alias("dest_market_key"), F.col("price_b").alias("price_home"), F.col("price_a").alias("price_dest"))
     scenario = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(a).alias("per_km"), F.lit(b).alias("fixed"), F.lit(c).alias("fee")) for k, (a, b, c) in s.scenarios.items())))
     x = one.unionByName(two).withColumn("s", scenario).select("*", "s.*").drop("s")
-    cents = (lambda c: F.round(c, 2)) if rounded else (lambda c: c)
-    x = x.withColumns({"transport_cost": cents(F.col("road_km_est") * F.col("per_km") + F.col("fixed")), "fee_cost": cents(F.col("price_dest") * F.col("fee"))}).drop("per_km", "fixed", "fee")
+    dec = lambda c, n: F.col(c).cast(f"decimal(14,{n})")  # noqa: E731  decimals, so that halves of a cent are rounded alike everywhere
+    if rounded:
+        costs = {"transport_cost": F.round(dec("road_km_est", 2) * dec("per_km", 2) + dec("fixed", 2), 2).cast("double"), "fee_cost": F.round(dec("price_dest", 4) * dec("fee", 4), 2).cast("double")}
+    else:
+        costs = {"transport_cost": F.col("road_km_est") * F.col("per_km") + F.col("fixed"), "fee_cost": F.col("price_dest") * F.col("fee")}
+    x = x.withColumns(costs).drop("per_km", "fixed", "fee")
     x = x.withColumn("gain", F.round(F.col("price_dest") - F.col("transport_cost") - F.col("fee_cost") - F.col("price_home"), 6))
     return x.withColumns({"gain_pct": F.round(F.col("gain") / F.col("price_home"), 4), "is_opportunity": (F.col("gain") >= s.gain_min) & (F.round(F.col("gain") / F.col("price_home"), 9) >= s.gain_min_share)})
 
