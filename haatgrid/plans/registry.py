@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, saved
+from . import extra, problems, saved
 
-MODULES = [problems, saved]
+MODULES = [problems, saved, extra]
 
 
 def queries() -> dict:
