@@ -9,7 +9,7 @@ from ..util import cut, table
 from .leaks import leaked
 from .mixing import mix, mix_shares, token_counter
 from .names import link_names, same_entity_pairs
-from .quantiles import merge_sketches, percentiles, sketch_groups
+from .quantiles import merge_sketches, percentiles, rank_error, sketch_groups
 from .subjects import SHARE, subject_shares
 
 
@@ -98,4 +98,9 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_days, p2_months, p2_all, p4_found, p4_links, p8_found, p8_leaks, p9_mix, p9_shares, p9_shares_full, p10_found, p10_shares, p10_composition)}
-SQL: dict[str, str] = {}
+# Groups of a day hold fewer values than a sketch's first level, so their percentiles are exact: the value at rank ceil(q n).
+_Q = ", ".join(f"v[cast(greatest(1, ceil({q} * n - 1e-9)) as bigint)] as {c}" for q, c in ((0.01, "p1"), (0.1, "p10"), (0.5, "p50"), (0.9, "p90"), (0.99, "p99")))
+SQL: dict[str, str] = {
+    "p2_days": f"""with g as (select state, commodity, arrival_date, count(*) as n, list_sort(list(modal_price)) as v from mandi_prices where modal_price is not null group by all)
+select state, commodity, arrival_date, n, {_Q}, {rank_error()!r} as rank_error from g""",
+}
