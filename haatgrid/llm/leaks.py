@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..util import cut, small
-from .text import wording
+from .text import streams, wording
 
 #: Words of a seed, and the most items that may share one.
 SEED, SEED_ITEMS = 4, 3
@@ -21,6 +21,8 @@ SHARED, SHARED_ITEMS = 5, 4
 CHANGED, MOVED = 2.5, 2.5
 #: Words about the first and last seed that are aligned.
 MARGIN = 40
+#: Documents whose words are given on together.
+_SLICE = 500
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -28,6 +30,12 @@ def _words(texts: pd.Series) -> pd.Series:
     return pd.Series([wording(t) for t in texts])
 
 
+def _streams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for at in range(0, len(f), _SLICE):
+            g = f.iloc[at : at + _SLICE]
+            rows = [(rep, h, k, w) for rep, h, t in zip(g["rep"], g["h"], g["text"]) for k, w in enumerate(streams(t)) if len(w) >= SEED]
+            yield pd.DataFrame(rows, columns=["rep", "h", "run", "words"])
 
 
 def _explode_grams(df: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -87,7 +95,8 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, least: int = 15) -> DataFrame:
     """Documents that carry at least ``least`` words in a row of an item's own wording: ``doc, item, own_words, score``.
 
-    Words are compared without case, punctuation and markup. Runs of SEED words that at most SEED_ITEMS items share are the
+    Words are compared without case, punctuation and markup; what references, templates, comments and captions say is searched on its own and in its
+    place, the text about it with and without it (see ``text.streams``). Runs of SEED words that at most SEED_ITEMS items share are the
     seeds; each pair of a document and an item with a common seed is aligned about its seeds (Smith-Waterman), where words may be changed, added or
     dropped. Words in runs that at least SHARED_ITEMS items have (instructions) are not an item's own and do not count. All documents are
     searched whole; equal texts are searched once. Null and empty texts leak nothing; a repeated id counts as one
@@ -106,12 +115,14 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
 
     d = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
     one = d.groupBy("h", "text").agg(F.min("doc").alias("rep"))
-    one = cut(one.select("rep", "h", _words("text").alias("words")).filter(F.size("words") >= SEED))
-    hits = _explode_grams(one, "rep", SEED).join(small(seeds), "gram").groupBy(F.col("id").alias("rep"), "item").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    pairs = hits.join(one.select("rep", "words"), "rep").join(small(it), "item")
+    one = cut(one.select("rep", "h", "text").mapInPandas(_streams, "rep long, h long, run int, words array<string>"))
+    grams = _explode_grams(one.withColumn("part", F.struct("rep", "run")), "part", SEED)
+    hits = grams.join(small(seeds), "gram").groupBy(F.col("id.rep").alias("rep"), F.col("id.run").alias("run"), "item").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    pairs = hits.join(one.select("rep", "run", "words"), ["rep", "run"]).join(small(it), "item")
     n = F.size("item_words")
     begin = F.greatest(F.col("a") - n - MARGIN, F.lit(0))
     window = pairs.select(F.col("rep").alias("doc"), "item", "item_words", "own", F.slice("words", begin + 1, F.col("b") + SEED + n + MARGIN - begin).alias("passage"))
     found = window.repartition("doc", "item").mapInPandas(_aligned, "doc long, item long, score double, own_words long").filter(F.col("own_words") >= least)
-    same = d.join(one.select("rep", "h"), "h")  # every document with the one that stands for its text
-    return found.withColumnRenamed("doc", "rep").join(same.select("doc", "rep"), "rep").select("doc", "item", "own_words", F.round("score", 1).alias("score")).distinct()
+    found = found.groupBy(F.col("doc").alias("rep"), "item").agg(F.max(F.struct("own_words", "score")).alias("best")).select("rep", "item", "best.own_words", "best.score")
+    same = d.join(one.select("rep", "h").distinct(), "h")  # every document with the one that stands for its text
+    return found.join(same.select("doc", "rep"), "rep").select("doc", "item", "own_words", F.round("score", 1).alias("score")).distinct()

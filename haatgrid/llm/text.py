@@ -86,6 +86,70 @@ def wording(text: str | None) -> list[str]:
     return _WORD.findall(plain(text).lower().replace("'", "").replace("’", ""))
 
 
+_INSERT = re.compile(r"<!--|-->|<ref\b[^<>]*>|</ref\s*>|\{\{|\}\}|\[\[|\]\]", re.IGNORECASE)
+_PICTURE = re.compile(r"\[\[\s*(?:file|image|datei|bild|fichier|archivo)\s*:", re.IGNORECASE)
+_SIGN = re.compile(r"<!--|-->|</?[a-zA-Z][^<>]*>")
+
+
+def _inserts(text: str) -> list[str]:
+    """What lies in references, templates, comments and pictures, each without those inside of it; unclosed ones are none."""
+    open_: list[tuple[str, int, bool]] = []
+    count = {"<!--": 0, "<ref": 0, "{{": 0, "[[": 0}
+    spans = []
+    for m in _INSERT.finditer(text):
+        t = m.group()
+        kind = {"-->": "<!--", "}}": "{{", "]]": "[["}.get(t, "<ref" if t[:2] == "</" else None)
+        if kind is None:
+            kind = t if t in count else "<ref"
+            if not t.endswith("/>"):
+                open_.append((kind, m.start(), kind != "[[" or bool(_PICTURE.match(text, m.start()))))
+                count[kind] += 1
+        elif count[kind]:
+            while True:
+                was, a, own = open_.pop()
+                count[was] -= 1
+                if was == kind:
+                    break
+            if own:
+                spans.append((a, m.end()))
+    out, held, at = [], [], 0
+    spans.sort()
+    for a, b in [*spans, (len(text), len(text))]:
+        while held and held[-1][0] <= a:
+            end, parts = held.pop()
+            out.append("".join([*parts, text[at:end]]))
+            at = end
+        if held:
+            held[-1][1].extend((text[at:a], " "))
+        held.append((b, []))
+        at = a
+    return out
+
+
+def _inner(m: re.Match) -> str:
+    inner = m.group(1)
+    return inner if _label(m) == " " else inner.rsplit("|", 1)[-1]
+
+
+def _unmarked(text: str) -> list[str]:
+    """Words of a text without the signs of markup only: tags, braces, brackets and link targets."""
+    t = _SIGN.sub(" ", text) if "<" in text or "-->" in text else text
+    if "[" in t:
+        t = _OUTER.sub(r"\1", _LINK.sub(_inner, _LINK.sub(_inner, t)))
+    return _WORD.findall(html.unescape(t).lower().replace("'", "").replace("’", ""))
+
+
+def streams(text: str | None) -> list[list[str]]:
+    """The runs of words in which a passage may lie: the wording; what each reference, template, comment or picture says; and the whole text, of
+    which only the signs of markup are left out. A run that would only repeat the wording is left out."""
+    out = [wording(text)]
+    if text and ("<" in text or "{" in text or "[" in text):
+        whole = _unmarked(text)
+        if whole != out[0]:
+            out += [*map(_unmarked, _inserts(text)), whole]
+    return out
+
+
 _END = re.compile(r"(?<=[.!?])[\"”»)\]]?\s+(?=[\"“«(¿¡]?[A-ZÀ-ÖØ-Þ])")
 _NOT_PROSE = "=*#|!{}:;<"
 

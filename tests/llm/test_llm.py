@@ -14,7 +14,7 @@ from haatgrid.llm.mixing import entropy, exponent_for_entropy, mix, mix_shares,
 from haatgrid.llm.names import align, edits, link_names, name_cost, same_entity_pairs  # noqa: E402
 from haatgrid.llm.quantiles import Sketch, merge_sketches, percentiles, rank_error, sketch_groups  # noqa: E402
 from haatgrid.llm.subjects import subject_shares  # noqa: E402
-from haatgrid.llm.text import plain, sentences, wording  # noqa: E402
+from haatgrid.llm.text import plain, sentences, streams, wording  # noqa: E402
 from haatgrid.util import cut  # noqa: E402
 
 
@@ -145,6 +145,28 @@ def test_leaks(spark):
     assert leaked(d, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_inside_markup(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, fill(60)) for i in range(8)]
+    p = [" ".join(t.split()[10:35]) for _, t in items]
+    half = p[6].split()
+    docs = [
+        (0, f"{fill(20)}<ref name=\"a\">{p[0]}</ref> {fill(20)}"), (1, f"{fill(20)} {{{{quote|text={p[1]}|by={{{{x|y}}}}}}}} {fill(9)}"), (2, f"{fill(20)} <!-- {p[2]} --> {fill(9)}"),
+        (3, f"[[File:A b.jpg|thumb|{p[3][:60]} [[to|{p[3][61:]}]]]] {fill(9)}"), (4, f"{{{{box|{fill(9)}<ref>{{{{cite|{p[4]}}}}}</ref>}}}}"), (5, f"<ref>{p[5][:80]} <!-- {fill(9)} -->{p[5][80:]}</ref>"),
+        (6, f"{' '.join(half[:9])} {{{{lang|{' '.join(half[9:])}}}}} {fill(9)}"), (7, f"{p[7][:80]}<ref>{fill(30)}</ref>{p[7][80:]}"),
+    ]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc"], r["item"]) for r in leaked(d, "doc_id", "text", it, "item_id", "text").collect()} == {(i, i) for i in range(8)}
+
+
+def test_streams_of_text():
+    assert streams(None) == [[]] and streams("One two") == [["one", "two"]] and streams("One [[b|two]]") == [["one", "two"]]
+    assert streams("a <ref name=x>b {{c|d}} e</ref> f {{g [[h") == [["a", "f", "g", "h"], ["c", "d"], ["b", "e"], ["a", "b", "c", "d", "e", "f", "g", "h"]]
+    assert all(streams(x * 100_000) for x in ("{{", "<ref>", "<!--", "[[File:", "{{<ref>}}"))
+
+
 def test_plain_text():
     assert wording("'''The''' [[Encore (x)|encore]]<ref name=\"a\" />, it's<ref>{{cite|a={{b}}}}</ref> &amp; {{t|x}}[[word]]<!-- no -->.") == ["the", "encore", "its", "word"]
     assert plain(None) == "" and plain("{{open [[a") == "{{open [[a"
