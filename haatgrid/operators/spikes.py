@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.runs import starts, whole_groups
-from .units import FACTORS, by_source, decoded
+from ..functions.runs import starts
+from .units import FACTORS, by_source, decoded, of_rows, reports
 
 KINDS = ("limit", "spike", "stuck")
 
@@ -171,10 +171,10 @@ def _dense(group: np.ndarray) -> np.ndarray:
 
 def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = pa.array(KINDS)
-    for c in whole_groups(batches, ["source", "part"]):
+    for c in reports(batches):
         kind, price, level = judge(c)
-        keep = c["own"] & (kind > 0)
-        yield pa.RecordBatch.from_pydict({"raw_id": c["raw_id"][keep], "kind": names.take(pa.array((kind[keep] - 1).astype(np.int32))), "price": pa.array(price[keep]), "level": pa.array(level[keep], mask=np.isnan(level[keep]))})
+        raw_id, at = of_rows(c, c["own"] & (kind > 0))
+        yield pa.RecordBatch.from_pydict({"raw_id": raw_id, "kind": names.take(pa.array((kind[at] - 1).astype(np.int32))), "price": pa.array(price[at]), "level": pa.array(level[at], mask=np.isnan(level[at]))})
 
 
 def implausible(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runs import starts, whole_groups
+from ..functions.runs import starts, whole_reports
 
 #: Units in the order of their codes, and the price in them of one rupee a quintal.
 UNITS = ("quintal", "kg", "20kg", "40kg", "50kg", "tonne")
@@ -181,7 +181,7 @@ def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.
 #: Columns of the narrow rows that units and spikes are found in, in the order of ``narrow``.
 NARROW = ("source", "part", "own", "day", "raw_id", "modal", "low", "high", "remark", "variety_clue", "anchor", "named")
 
-#: Rows from which a source is cut into stretches of days, each with its neighbours' days about it.
+#: Rows from which ``split_hot`` cuts a source into stretches of days, each with its neighbours' days about it.
 HOT_ROWS = 200_000
 HALO_DAYS = 90
 
@@ -200,12 +200,11 @@ def anchors(prices: DataFrame) -> DataFrame:
 
 
 def narrow(prices: DataFrame, market_ids: DataFrame, anchor: DataFrame) -> DataFrame:
-    """Price rows as NARROW, one per row, or more of a source that holds very many rows.
+    """Price rows as NARROW, one per row.
 
     ``source`` is a hash of the market under all its spellings, commodity, variety without unit endings and grade. ``market_ids`` (state,
-    district, market, market_id) and ``anchor`` are joined as the planner sees fit. A source of more than
-    HOT_ROWS rows is cut into stretches of days (``part``) with HALO_DAYS of context on either side; ``own`` tells the rows to be
-    reported by the stretch."""
+    district, market, market_id) and ``anchor`` are joined as the planner sees fit. A source is
+    one ``part`` and reports all rows as its ``own``."""
     p = prices.select(
         "raw_id", "state", "district", "market", "commodity", plain_variety(F.col("variety")).alias("pv"), "grade", F.trunc("arrival_date", "month").alias("month"),
         F.unix_date("arrival_date").alias("day"), F.col("modal_price").alias("modal"), F.col("min_price").alias("low"), F.col("max_price").alias("high"),
@@ -223,6 +222,9 @@ def narrow(prices: DataFrame, market_ids: DataFrame, anchor: DataFrame) -> DataF
 def split_hot(rows: DataFrame, hot_rows: int = HOT_ROWS, halo: int = HALO_DAYS) -> DataFrame:
     """Cut sources of more than ``hot_rows`` rows into stretches of days; ``rows`` is stored, as it is read twice.
 
+    What depends on a whole source (levels from afar, how often it repeats its price, long stuck runs) is then told by a stretch only. The
+    queries don't use this: repeated rows are collapsed as a source is read (``whole_reports``), so it stays whole.
+
     There are fewer such sources than rows / ``hot_rows``, so their list is short whatever the input."""
     span = rows.groupBy("source").agg(F.count("*").alias("n"), F.min("day").alias("a"), F.max("day").alias("b")).filter(F.col("n") > hot_rows)
     hot = span.select("source", F.greatest(F.lit(30), F.ceil((F.col("b") - F.col("a") + 1) * hot_rows / F.col("n"))).cast("int").alias("len"))
@@ -233,8 +235,21 @@ def split_hot(rows: DataFrame, hot_rows: int = HOT_ROWS, halo: int = HALO_DAYS)
 
 
 def by_source(rows: DataFrame) -> DataFrame:
-    """Rows of a source together and in order of day and receipt."""
-    return rows.repartition("source", "part").sortWithinPartitions("source", "part", "day", "raw_id")
+    """Rows of a source together and in order of day, repeated ones next to each other by receipt."""
+    keys = ["source", "part", "day", *(c for c in NARROW if c not in ("source", "part", "day", "raw_id")), "raw_id"]
+    return rows.repartition("source", "part").sortWithinPartitions(*keys)
+
+
+def reports(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole sources of rows by ``by_source``, repeated rows once, in order of day and last receipt."""
+    return whole_reports(batches, ["source", "part"], "raw_id", ["day", "raw_id"])
+
+
+def of_rows(c: dict[str, np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows that the kept reports stand for, and the report of each."""
+    report = np.repeat(np.arange(len(keep)), c["size"])
+    row = keep[report]
+    return c["ids"][row], report[row]
 
 
 def decoded(c: dict[str, np.ndarray], model: UnitModel = UnitModel()) -> tuple[np.ndarray, np.ndarray]:
@@ -246,12 +261,12 @@ def decoded(c: dict[str, np.ndarray], model: UnitModel = UnitModel()) -> tuple[n
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = pa.array(UNITS)
-    for c in whole_groups(batches, ["source", "part"]):
+    for c in reports(batches):
         _, unit = decoded(c)
-        keep = c["own"] & (unit > 0)
-        f = FACTORS[unit[keep]]
+        raw_id, at = of_rows(c, c["own"] & (unit > 0))
+        f = FACTORS[unit[at]]
         yield pa.RecordBatch.from_pydict(
-            {"raw_id": c["raw_id"][keep], "unit": names.take(pa.array(unit[keep].astype(np.int32))), **{f"{out}_price": _null(c[k][keep] / f) for k, out in (("modal", "modal"), ("low", "min"), ("high", "max"))}}
+            {"raw_id": raw_id, "unit": names.take(pa.array(unit[at].astype(np.int32))), **{f"{out}_price": _null(c[k][at] / f) for k, out in (("modal", "modal"), ("low", "min"), ("high", "max"))}}
         )
 
 
@@ -264,6 +279,6 @@ def other_units(rows: DataFrame) -> DataFrame:
     rupees per quintal.
 
     ``rows`` is NARROW. Missing prices stay missing; a row without any usable price has the unit of the reports about it; a row
-    without a date comes before the dated ones of its source; repeated rows get one result each. An empty input gives no rows.
+    without a date comes before the dated ones of its source; repeated rows count once and get one result each. An empty input gives no rows.
     """
     return by_source(rows).mapInArrow(_units, "raw_id long, unit string, modal_price double, min_price double, max_price double")

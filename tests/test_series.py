@@ -4,8 +4,10 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from haatgrid.functions.runs import whole_reports
 from haatgrid.operators import units
 from haatgrid.operators.spikes import implausible, spike_flags, stuck_flags
 from haatgrid.operators.units import UNITS, anchors, narrow, other_units, split_hot
@@ -82,6 +84,44 @@ def test_hot_sources_are_split(spark):
     assert {r["raw_id"]: r["unit"] for r in other_units(split).collect()} == unit
 
 
+def test_long_stuck_run_of_a_hot_source(spark, tmp_path):
+    from haatgrid.plans import problems
+
+    rnd, rows = random.Random(6), []
+    for d in range(700):
+        price = 2501.0 if 150 <= d < 550 else float(round(2500 * (1 + rnd.gauss(0, 0.03))))
+        rows.append((d, "S", "D", "M", "Onion", "v", "FAQ", dt.date(2022, 1, 1) + dt.timedelta(d), None, None, price, None))
+    p = spark.createDataFrame(rows, SCHEMA).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(1999)))).withColumn("raw_id", F.col("copy") * 1000 + F.col("raw_id")).drop("copy")
+    p.write.parquet(f"{tmp_path}/mandi_prices.parquet")
+    m = p.select("state", "district", "market").distinct()
+    m.write.parquet(f"{tmp_path}/market_names.parquet")
+    m.write.parquet(f"{tmp_path}/dim_market.parquet")
+    got = problems.p3_flags(spark, str(tmp_path)).filter("kind = 'stuck'").agg(F.count("*").alias("n"), F.min(F.col("raw_id") % 1000).alias("a"), F.max(F.col("raw_id") % 1000).alias("b")).first()
+    assert tuple(got) == (400 * 2000, 150, 549)
+
+
+def test_repeated_rows_are_collapsed_over_batches():
+    rnd = np.random.default_rng(2)
+    n = 900
+    x = np.sort(rnd.integers(0, 40, n)) // 2
+    day, y = rnd.integers(0, 3, n), np.where(rnd.random(n) < 0.3, np.nan, rnd.integers(0, 2, n))
+    i = rnd.permutation(n)
+    to = np.lexsort([i, y, day, x])
+    x, day, y, i = x[to], day[to], y[to], i[to]
+    for step, rows in ((1, 10), (7, 40), (n, 5), (50, 10_000)):
+        parts = [pa.RecordBatch.from_pydict({"g": x[a : a + step], "day": day[a : a + step], "y": y[a : a + step], "id": i[a : a + step]}) for a in range(0, n, step)]
+        seen, ids = set(), []
+        for c in whole_reports(iter(parts), ["g"], "id", ["day", "id"], rows):
+            assert not seen & set(c["g"].tolist()) and c["size"].sum() == len(c["ids"])
+            seen |= set(c["g"].tolist())
+            assert (np.lexsort([c["id"], c["day"], c["g"]]) == np.arange(len(c["g"]))).all()
+            back = {int(k): (int(c["g"][r]), int(c["day"][r]), str(c["y"][r])) for k, r in zip(c["ids"], np.repeat(np.arange(len(c["g"])), c["size"]))}
+            assert len(set(back.values())) == len(c["g"])
+            assert all(back[k] == (a, b, str(v)) for k, a, b, v in zip(i.tolist(), x.tolist(), day.tolist(), y.tolist()) if k in back)
+            ids += c["ids"].tolist()
+        assert sorted(ids) == list(range(n))
+
+
 def test_nulls_and_empty(spark):
     rows = [(1, "S", "D", None, "Onion", None, None, None, None, None, None, None), (2, None, None, None, None, None, None, None, 0.0, 0.0, -1.0, ""), (3, "S", "D", "M", "Onion", "v", "FAQ", dt.date(2024, 1, 1), None, None, float("nan"), "x" * 5000)]
     n = prepared(spark, rows)
