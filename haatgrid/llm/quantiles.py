@@ -136,6 +136,62 @@ class Sketch:
         return s
 
 
+class Ends:
+    """Two sketches of the same values, one protected at either end, so that every share has a bound relative to its nearer end. As long as nothing
+    is compacted both would hold all values, and only the upper one is kept."""
+
+    __slots__ = ("high", "low")
+
+    def __init__(self, k: int = K) -> None:
+        self.high, self.low = Sketch(k), None
+
+    @property
+    def n(self) -> int:
+        return self.high.n
+
+    def add(self, values: np.ndarray) -> "Ends":
+        low = self._low()
+        self.high.add(values)
+        return self._keep(low.add(values))
+
+    def merge(self, other: "Ends") -> "Ends":
+        low = self._low()
+        self.high.merge(other.high)
+        return self._keep(low.merge(other._low()))
+
+    def _low(self) -> Sketch:
+        if self.low is not None:
+            return self.low
+        low = Sketch(self.high.k, False)
+        return low.add(self.high.items[0]) if self.high.items else low
+
+    def _keep(self, low: Sketch) -> "Ends":
+        self.low = low if len(low.items) > 1 or len(self.high.items) > 1 else None
+        return self
+
+    def quantiles(self, q: list[float]) -> list[float]:
+        """As of a sketch; shares below a half are read from the one protected at the lower end."""
+        if self.low is None:
+            return self.high.quantiles(q)
+        return [(self.low if x < 0.5 else self.high).quantiles([x])[0] for x in q]
+
+    def errors(self, q: list[float]) -> list[float]:
+        """Bound of the rank error of each share, as a share of all values; 0 where nothing was compacted."""
+        return [0.0 if self.low is None else rank_error(self.high.k) * min(x, 1 - x) for x in q]
+
+    def dump(self) -> bytes:
+        high = self.high.dump()
+        return struct.pack("<II", self.high.k, len(high)) + high + (b"" if self.low is None else self.low.dump())
+
+    @classmethod
+    def load(cls, b: bytes) -> "Ends":
+        k, size = struct.unpack_from("<II", b)
+        s = cls(k)
+        s.high = Sketch.load(b[8 : 8 + size])
+        s.low = Sketch.load(b[8 + size :]) if len(b) > 8 + size else None
+        return s
+
+
 #: Rows sketched together before the parts are given on.
 _ROWS = 400_000
 
@@ -144,7 +200,7 @@ def _schema(df: DataFrame, keys: list[str]) -> T.StructType:
     return T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
 
-def _parts(keys: list[str], k: int, high: bool):
+def _parts(keys: list[str], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -161,7 +217,7 @@ def _parts(keys: list[str], k: int, high: bool):
             first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             ends = np.r_[first[1:], len(codes)]
             rows = t.take(pa.array(order[first])).select(keys)
-            sketches = [Sketch(k, high).add(x[a:b]).dump() for a, b in zip(first, ends)]
+            sketches = [Ends(k).add(x[a:b]).dump() for a, b in zip(first, ends)]
             return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array(ends - first), pa.array(sketches, pa.binary())], names=[*keys, "n", "sketch"])
 
         for b in batches:
@@ -198,9 +254,9 @@ def _merged(keys: list[str]):
                         if len(rows) >= 5000:
                             yield flush()
                             rows = []
-                    now, acc = key, Sketch.load(s)
+                    now, acc = key, Ends.load(s)
                 else:
-                    acc.merge(Sketch.load(s))
+                    acc.merge(Ends.load(s))
         if acc is not None:
             rows.append((*now, acc.n, acc.dump()))
         if rows:
@@ -209,15 +265,15 @@ def _merged(keys: list[str]):
     return run
 
 
-def sketch_groups(df: DataFrame, keys: list[str], value: str, k: int = K, high: bool = True) -> DataFrame:
-    """One sketch per group: ``keys``, ``n`` and ``sketch``.
+def sketch_groups(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
+    """One pair of sketches (see Ends) per group: ``keys``, ``n`` and ``sketch``.
 
     Every task sketches its own rows by group first, so of a group that holds a large part of the rows only its tasks' sketches are
     shuffled and merged. Null and nan values are left out; a group without values gives no row; null keys form groups.
     """
     x = df.select(*keys, F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     schema = _schema(x, keys)
-    return merge_sketches(x.mapInArrow(_parts(keys, k, high), schema), keys)
+    return merge_sketches(x.mapInArrow(_parts(keys, k), schema), keys)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -228,9 +284,11 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentiles(sketches: DataFrame, keys: list[str], q: tuple[float, ...] = (0.01, 0.1, 0.5, 0.9, 0.99)) -> DataFrame:
-    """``keys``, ``n`` and ``p1, p10, ...`` of each sketch, with ``rank_error``, the bound of the relative rank error."""
+    """``keys``, ``n`` and ``p1, p10, ...`` of each sketch, with ``rank_error``, the bound of the rank error relative to the rank from the nearer end, and
+    ``p1_error, p10_error, ...``, that of each percentile as a share of ``n``."""
     shares = list(q)
-    read = F.pandas_udf(lambda s: pd.Series([Sketch.load(b).quantiles(shares) for b in s]), T.ArrayType(T.DoubleType()))
+    read = F.pandas_udf(lambda s: pd.Series([e.quantiles(shares) + e.errors(shares) for e in map(Ends.load, s)]), T.ArrayType(T.DoubleType()))
     out = sketches.withColumn("q", read("sketch"))
     k = F.pandas_udf(lambda s: pd.Series([rank_error(struct.unpack_from("<I", b)[0]) for b in s], dtype="float64"), T.DoubleType())
-    return out.select(*keys, "n", *(F.col("q")[i].alias(f"p{100 * x:g}".replace(".", "_")) for i, x in enumerate(shares)), k("sketch").alias("rank_error"))
+    names = [f"p{100 * x:g}".replace(".", "_") for x in shares]
+    return out.select(*keys, "n", *(F.col("q")[i].alias(c) for i, c in enumerate(names)), k("sketch").alias("rank_error"), *(F.col("q")[len(names) + i].alias(f"{c}_error") for i, c in enumerate(names)))

@@ -73,6 +73,22 @@ def test_groups_days_and_months(spark):
     assert sketch_groups(df.limit(0), ["g"], "v").count() == 0
 
 
+def test_percentiles_keep_their_rank_from_either_end(spark):
+    rnd = np.random.default_rng(9)
+    n = 200_000
+    x = rnd.lognormal(7, 1, n)
+    df = spark.createDataFrame([(int(i % 7), float(v)) for i, v in enumerate(x)], "day int, v double").repartition(6).withColumn("g", F.lit("a"))
+    shares = (0.001, 0.01, 0.1, 0.5, 0.9, 0.99, 0.999)
+    r = percentiles(merge_sketches(sketch_groups(df, ["g", "day"], "v"), ["g"]), ["g"], shares).first()
+    s = np.sort(x)
+    for q in shares:
+        c = f"p{100 * q:g}".replace(".", "_")
+        assert r[f"{c}_error"] == pytest.approx(rank_error() * min(q, 1 - q))
+        assert abs(np.searchsorted(s, r[c]) + 1 - q * n) <= r[f"{c}_error"] * n + 1
+    few = percentiles(sketch_groups(df.limit(100), ["g"], "v"), ["g"]).first()
+    assert few["p1_error"] == few["p99_error"] == 0 and few["rank_error"] == rank_error()
+
+
 # names
 
 
