@@ -22,8 +22,8 @@ def d3_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d4_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of spellings of one state and district that are alike (edit similarity of at least 0.8) and never report the same day: candidates
-    for a merge, oldest first. Alike names come from the deletion neighbourhood, not from all pairs."""
+    """Pairs of spellings of one state and district that are alike (edit similarity of at least 0.8) and whose spans of dates do not overlap. Only names
+    that share an entry of the deletion neighbourhood are compared, and nothing is merged: the review merge D4 is not built (see README)."""
     from ..functions.names import name_parts
 
     n = table(spark, sf_dir, "market_names").withColumn("p", name_parts("market")).select("name_id", "state", "district", "market", "first_date", "last_date", F.col("p.folded").alias("folded"), F.col("p.qualifier").alias("q"), F.explode("p.keys").alias("key"))
