@@ -18,6 +18,7 @@ from ..functions.runs import starts, whole_reports
 UNITS = ("quintal", "kg", "20kg", "40kg", "50kg", "tonne")
 FACTORS = np.array([1.0, 0.01, 0.2, 0.4, 0.5, 10.0])
 _LOG_F = np.log(FACTORS)
+_FAR = [0, 1, 2, 5]  # units that the size of a price alone can tell apart
 
 #: How units are written in remarks and names of varieties, tried in this order. A number of kilograms
 #: counts only as a rate ("per 20 kg", "50kg bag rate"), not as an amount of goods ("350 kg only").
@@ -66,48 +67,82 @@ class UnitModel:
     anchor_weight: float = 0.06  #: weight of that in each report
     anchor_first: float = 0.6  #: and in a source's first report
     gain: float = 0.3  #: of the level's update
+    digits: float = 0.5  #: weight of how often prices end in tens, fives or even rupees; 0 leaves that out
+    fraction: float = 7.0  #: cost of a fraction of a rupee a quintal
+    endings: tuple[float, ...] = (0.02, 0.02, 0.16, 0.15, 0.35, 0.3)  #: shares of ENDINGS where a source has few prices
+    endings_weight: float = 10.0  #: prices that these shares count as
 
 
-def _digit_costs(price: np.ndarray) -> np.ndarray:
-    """Cost of the price's last digits in each unit: prices per quintal are whole rupees, and a whole number of them times the
-    unit's factor ends in certain digits only."""
-    p = np.array(
-        [  # quintal, kg, 20kg, 40kg, 50kg, tonne
-            [0.15, 0.01, 0.03, 0.03, 0.06, 1.0],  # a multiple of ten
-            [0.85, 0.04, 0.17, 0.17, 0.44, 1e-3],  # whole
-            [3e-4, 0.1, 5e-4, 5e-4, 0.5, 1e-4],  # a half
-            [3e-4, 0.2, 0.8, 0.8, 5e-4, 1e-4],  # other multiples of 0.2
-            [3e-4, 0.65, 1e-3, 1e-3, 1e-3, 1e-4],  # anything else
-        ]
-    )
-    with np.errstate(invalid="ignore"):
-        c = np.round(np.nan_to_num(price) * 20).astype(np.int64)
-    kind = np.where(c % 200 == 0, 0, np.where(c % 20 == 0, 1, np.where(c % 20 == 10, 2, np.where(c % 4 == 0, 3, 4))))
-    kind = np.where(np.abs(np.nan_to_num(price) * 20 - c) > 1e-3, 4, kind)
-    return -np.log(p)[kind]
+def _changed(x: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Where a value is given that is not that of the report before in the same source."""
+    new = ~np.isnan(x)
+    new[1:] &= (source[1:] != source[:-1]) | (x[1:] != x[:-1])
+    return new
+
+
+#: Endings of whole rupees that sources may prefer, and how many of a hundred numbers have each.
+ENDINGS = ("hundreds", "other fifties", "other tens", "other fives", "other even", "other odd")
+_OF_HUNDRED = np.array([1, 1, 8, 10, 40, 40])
+
+
+def _ending(rupees: np.ndarray) -> np.ndarray:
+    """Place in ENDINGS."""
+    kinds = [rupees % 100 == 0, rupees % 50 == 0, rupees % 10 == 0, rupees % 5 == 0, rupees % 2 == 0]
+    return np.select(kinds, range(5), 5)
+
+
+def digit_costs(first: np.ndarray, prices: list[np.ndarray], y: np.ndarray, anchor: np.ndarray, m: UnitModel) -> np.ndarray:
+    """Cost of the digits of each report's prices in each unit.
+
+    Prices per quintal are taken as whole rupees, so a price in another unit is a whole number times the unit's factor: of the prices near a level
+    each unit allows some only, and the fewer it allows, the more one that fits tells (its probability is one over the number of rupees). How often a source
+    rounds to tens, fives or even rupees is learned from its own prices, each taken in the unit that brings it nearest to the usual one. A price that repeats the report before
+    tells nothing new.
+    """
+    n, k = len(y), len(ENDINGS)
+    source = np.zeros(n, np.int64)
+    source[first[1:]] = 1
+    source = np.cumsum(source)
+    off = np.abs(y[:, None] - _LOG_F[_FAR] - anchor[:, None])
+    off[:, 0] -= 1.0  # quintals unless clearly something else
+    guess = FACTORS[_FAR][np.where(np.isnan(off), 9.0, off).argmin(1)]
+    tells = [_changed(x, source) for x in prices]
+    seen = np.tile(np.array(m.endings) * m.endings_weight, (len(first), 1))
+    for x, at in zip(prices, tells):
+        rupees = x[at] / guess[at]
+        whole = np.abs(rupees - np.round(rupees)) < 1e-3
+        seen += np.bincount(source[at][whole] * k + _ending(np.round(rupees[whole])), minlength=k * len(first)).reshape(-1, k)
+    density = (seen / seen.sum(1, keepdims=True) * 100 / _OF_HUNDRED)[source]
+    out = np.zeros((n, len(UNITS)))
+    for x, at in zip(prices, tells):
+        for u, f in enumerate(FACTORS):
+            rupees = x[at] / f
+            near = np.round(rupees)
+            share = density[at, _ending(near)]
+            out[at, u] += np.where(np.abs(rupees - near) < 1e-3, m.digits * np.log(rupees / share), m.digits * np.log(rupees) + m.fraction)
+    return out
 
 
 def _clue_costs(remark: np.ndarray, variety: np.ndarray) -> np.ndarray:
     k = len(UNITS)
     told, ending = np.full((k, k + 1), 0.003), np.full((k, k + 1), 1e-4)
     told[0, 2:], told[0, 0], told[0, 1] = 0.003, 0.76, 0.22
-    told[1:, 0], told[1:, 1] = 0.6, 0.04
+    told[1:, 0], told[1:, 1] = 0.76, 0.015  # silence tells nothing, however long
     ending[:, 0] = 0.9
     for u in range(1, k):
         told[u, u + 1], ending[u, u + 1] = 0.35, 0.1
     return (-np.log(told)).T[remark] + (-np.log(ending)).T[variety]
 
 
-def quote(modal: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log price to judge the unit by, and the price whose digits count: the modal price, or the middle of minimum and maximum where
-    the modal price is missing, impossible or far outside of them."""
+def quote(modal: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The log price to judge the unit by: the modal price, or the middle of minimum and maximum where the modal price is missing,
+    impossible or far outside of them."""
     with np.errstate(invalid="ignore", divide="ignore"):
         low, high = np.where(low > 0, low, np.nan), np.where(high > 0, high, np.nan)
         mid = np.sqrt(np.where(np.isnan(low), high, low) * np.where(np.isnan(high), low, high))
         good = (modal > 0) & (modal < 1e6)
         odd = good & ((modal < 0.7 * low) | (modal > 1.4 * high))
-        use = good & ~odd
-        return np.log(np.where(use, modal, mid)), np.where(use, modal, np.where(np.isnan(low), high, low))
+        return np.log(np.where(good & ~odd, modal, mid))
 
 
 def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.ndarray, high: np.ndarray, remark: np.ndarray, variety: np.ndarray, anchor: np.ndarray, m: UnitModel = UnitModel()) -> np.ndarray:
@@ -122,10 +157,11 @@ def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.
     size = np.diff(np.append(first, n))
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
-    y, digits = quote(modal, low, high)
+    y = quote(modal, low, high)
     seen = ~np.isnan(y)
     emit = _clue_costs(remark, variety)
-    emit += np.where(seen[:, None], _digit_costs(digits), 0)
+    with np.errstate(invalid="ignore"):
+        emit += digit_costs(np.sort(first), [np.where((x > 0) & (x < 1e6), x, np.nan) for x in (modal, low, high)], y, anchor, m)
     move = np.full((k, k), m.swap)
     move[0, 1:], move[1:, 0] = m.enter, m.leave
     np.fill_diagonal(move, 0.02)

@@ -74,6 +74,51 @@ def test_repeats_get_their_own_results(spark):
     assert {r["raw_id"] for r in implausible(n).collect()} == {*bad, *(i + 100_000 for i in bad)}
 
 
+def decode_one(prices, remark=0, low=None, high=None, digits=None, anchor=np.nan):
+    """Units of one source with a report a day."""
+    n, x = len(prices), np.array(prices, float)
+    m = units.UnitModel() if digits is None else units.UnitModel(digits=digits)
+    b = [np.full(n, np.nan) if v is None else np.array(v, float) for v in (low, high)]
+    codes = np.zeros(n, np.int8) if np.isscalar(remark) else np.array(remark, np.int8)
+    return [UNITS[u] for u in units.decode_units(np.array([0]), np.arange(n), x, *b, codes, np.zeros(n, np.int8), np.full(n, anchor), m)]
+
+
+def test_stuck_round_prices_stay_quintals():
+    rnd = random.Random(1)
+    around = [float(round(1766 * (1 + rnd.gauss(0, 0.04)))) for _ in range(120)]
+    for stuck in (4390, 4391, 2640, 2641, 5000):
+        prices = around[:60] + [stuck] * 17 + around[60:]
+        for digits in (None, 0):
+            assert set(decode_one(prices, digits=digits, anchor=np.log(1900))) == {"quintal"}, stuck
+
+
+def test_price_rises_and_round_sources_stay_quintals():
+    rnd = random.Random(2)
+    walk, level = [], 1200.0
+    for d in range(300):
+        level *= 1.025 if 100 <= d < 170 else (0.975 if 170 <= d < 240 else 1 + rnd.gauss(0, 0.01))
+        walk.append(float(round(level * (1 + rnd.gauss(0, 0.03)))))
+    assert max(walk) > 5 * min(walk)
+    for to in (1, 2, 5, 10, 50):
+        assert set(decode_one([round(x / to) * to for x in walk])) == {"quintal"}, to
+
+
+def test_untold_units_of_a_source_are_found_without_digits():
+    rnd = random.Random(3)
+    base = [round(1500 * (1 + rnd.gauss(0, 0.04))) for _ in range(200)]
+    for u in ("kg", "20kg", "tonne"):
+        prices = [round(p * FACTOR[u], 2) if 80 <= i < 120 else float(p) for i, p in enumerate(base)]
+        for digits in (None, 0):
+            assert decode_one(prices, digits=digits) == ["quintal"] * 80 + [u] * 40 + ["quintal"] * 80
+
+
+def test_a_quintal_remark_weighs_against_another_unit():
+    prices = [1500.0, 1520.0, 1490.0, 1510.0] * 10 + [15000.0, 15100.0, 14900.0] + [1500.0] * 5
+    told = [0] * 40 + [1] * 3 + [0] * 5
+    assert set(decode_one(prices, remark=told, digits=0)) == {"quintal"}
+    assert decode_one(prices, remark=[0] * 40 + [6] * 3 + [0] * 5, digits=0)[40:43] == ["tonne"] * 3
+
+
 def test_hot_sources_are_split(spark):
     rows, unit, _ = made(days=200)
     p = cut(spark.createDataFrame(rows, SCHEMA))
