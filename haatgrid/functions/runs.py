@@ -37,68 +37,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         yield _columns(pa.Table.from_batches(held))
 
 
-def whole_reports(batches: Iterator[pa.RecordBatch], keys: list[str], id_col: str, order: list[str], rows: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
-    """Whole groups like ``whole_groups``, where rows alike in all columns but ``id_col`` are one; they stand together in the batches, by rising id.
-
-    In each group rows are in the order of ``order``. ``id_col`` has the last id of each; ``ids`` those of all rows, ``size`` of them of each in turn. Of a
-    repeated row only its id is held, so memory is that of the different rows of the largest group and of its ids."""
-    held: list[dict[str, np.ndarray]] = []
-    ids: list[np.ndarray] = []
-    last: dict = {}
-    n = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        c = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(b.schema.names)}
-        ids.append(c.pop(id_col))
-        new = np.zeros(b.num_rows, bool)
-        new[0] = not last or any(bool(_unlike(x[:1], last[k])[0]) for k, x in c.items())
-        for x in c.values():
-            new[1:] |= _unlike(x[1:], x[:-1])
-        last = {k: x[-1:] for k, x in c.items()}
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, b.num_rows))
-        if not new[0]:
-            held[-1]["size"][-1] += at[0] if len(at) else b.num_rows
-        if len(at):
-            held.append({**{k: x[at] for k, x in c.items()}, "size": size})
-        n += len(at)
-        if n < rows:
-            continue
-        t = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        cut = int(starts(*(t[k] for k in keys))[-1])
-        held, n = [{k: x[cut:] for k, x in t.items()}], n - cut
-        if cut:
-            i = np.concatenate(ids)
-            done = int(t["size"][:cut].sum())
-            ids = [i[done:].copy()]
-            yield _ordered({k: x[:cut] for k, x in t.items()}, i[:done], keys, id_col, order)
-        rows = max(rows, n * 2) if n >= rows else rows
-    if n:
-        yield _ordered({k: np.concatenate([h[k] for h in held]) for k in held[0]}, np.concatenate(ids), keys, id_col, order)
-
-
-def _unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x != y) & ((x == x) | (y == y))
-
-
-def _ordered(c: dict[str, np.ndarray], ids: np.ndarray, keys: list[str], id_col: str, order: list[str]) -> dict[str, np.ndarray]:
-    first = np.zeros(len(c["size"]), np.int64)
-    first[starts(*(c[k] for k in keys))] = 1
-    end = np.cumsum(c["size"])
-    c[id_col] = ids[end - 1]
-    to = np.lexsort([*(c[k] for k in reversed(order)), np.cumsum(first)])
-    out = {k: x[to] for k, x in c.items()}
-    return {**out, "ids": ids[_ranges(end[to] - out["size"], out["size"])]}
-
-
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers of the ranges that begin at ``first`` one after the other."""
-    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-
-
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
-    return {c: t.column(c).to_numpy() for c in t.column_names}
+    return {c: t.column(c).to_numpy(zero_copy_only=False) for c in t.column_names}
 
 
 def starts(*keys: np.ndarray) -> np.ndarray:
@@ -108,3 +48,15 @@ def starts(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         at[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(at)
+
+
+def group_median(x: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median (0 of an empty group) and number of the usable elements of each group; elements are at least 0 and count as below 1."""
+    use = ~np.isnan(x)
+    of = group[use]
+    v = np.sort(of + np.minimum(x[use], 0.999999))
+    count = np.bincount(of, minlength=groups)
+    if not len(v):
+        return np.zeros(groups), count
+    at = np.cumsum(count) - count + count // 2
+    return np.where(count > 0, v[np.minimum(at, len(v) - 1)] - np.arange(groups), 0), count

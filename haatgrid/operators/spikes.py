@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.runs import starts
-from .units import FACTORS, by_source, decoded, of_rows, reports
+from ..functions.runs import group_median, starts
+from .units import KEPT_SCHEMA, FACTORS, by_source, decoded, kept, of_all_rows, reports
 
 KINDS = ("limit", "spike", "stuck")
 
@@ -19,7 +19,11 @@ KINDS = ("limit", "spike", "stuck")
 class SpikeModel:
     ratio: float = 3.0  #: times above or below the level that make a spike
     side: int = 5  #: reports on either side that give the level
-    rounds: int = 3  #: rounds of the search for outliers
+    rounds: int = 4  #: rounds of the search for outliers
+    significance: float = 4.0  #: spreads of the innovations that an outlier must exceed
+    shift: float = 0.8  #: share of the squared innovations that a level shift must explain
+    sigma: float = 0.09  #: spread of a source with few reports; a quarter of it is the least taken
+    prior: float = 10.0  #: reports that this spread counts as
     stuck: int = 8  #: equal reports in a row that make a stuck run
     seldom: float = 0.25  #: share of repeated prices, outside of a stuck run, up to which a source seldom repeats its price
     evidence: int = 4  #: pairs of reports outside of the run that are needed to tell
@@ -58,47 +62,82 @@ def _median(rows: np.ndarray) -> np.ndarray:
     return np.where(k > 0, (lo + hi) / 2, np.nan)
 
 
-def _phi(r: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Autoregression of first order of each group's residuals, on residuals clipped to a robust spread; within 0 and 0.9."""
-    same = group[1:] == group[:-1]
-    a, b = np.nan_to_num(np.clip(r[:-1], -0.2, 0.2)), np.nan_to_num(np.clip(r[1:], -0.2, 0.2))
-    num = np.bincount(group[1:], np.where(same, a * b, 0), groups)
-    den = np.bincount(group[1:], np.where(same, a * a, 0), groups)
-    return np.clip(num / np.maximum(den + 0.02, 1e-9), 0, 0.9)
+def _group_median(x: np.ndarray, group: np.ndarray, groups: int, prior: float, weight: float) -> np.ndarray:
+    """Median of the usable elements (from 0, taken as below 1) of each group, drawn towards ``prior`` as if that were ``weight`` elements more."""
+    median, count = group_median(x, group, groups)
+    return (median * count + prior * weight) / (count + weight)
+
+
+@dataclass(frozen=True)
+class Autoregression:
+    """First-order autoregression of the residuals of each series, fitted without weight on outliers."""
+
+    phi: np.ndarray  #: coefficient of each group
+    sigma: np.ndarray  #: robust spread of its innovations
+    clip: np.ndarray  #: how far a residual may be carried on to its neighbours
+
+
+def fit_autoregression(res: np.ndarray, group: np.ndarray, groups: int, m: SpikeModel) -> Autoregression:
+    """Residuals beyond three robust spreads count as three; unusable ones are nan."""
+    if not len(res):
+        return Autoregression(np.zeros(groups), np.full(groups, m.sigma), np.full(groups, 3 * m.sigma))
+    clip = 3 * np.maximum(1.4826 * _group_median(np.abs(res), group, groups, m.sigma / 1.4826, m.prior), m.sigma / 4)
+    r = np.clip(res, -clip[group], clip[group])
+    same = (group[1:] == group[:-1]) & ~np.isnan(r[1:]) & ~np.isnan(r[:-1])
+    a, b, g = r[:-1][same], r[1:][same], group[1:][same]
+    cross, own = np.bincount(g, a * b, groups), np.bincount(g, a * a, groups)
+    phi = np.clip(cross / (own + m.prior * m.sigma**2), 0, 0.95)
+    sigma = np.maximum(1.4826 * _group_median(np.abs(b - phi[g] * a), g, groups, m.sigma / 1.4826, m.prior), m.sigma / 4)
+    return Autoregression(phi, sigma, clip)
+
+
+def _shift_share(head: np.ndarray, later: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """How much of the sum of squared innovations of an element and those beyond it a level shift at the element explains. ``head`` is the element's
+    distance from the level on its other side, ``later`` those of the elements beyond from the same level, nan where there is none; 0 where these are fewer than three."""
+    before = np.column_stack([head, later[:, :-1]])
+    step = later - phi[:, None] * before
+    has = ~np.isnan(step)
+    k, step = has.sum(1), np.where(has, step, 0)
+    gain = (head + (1 - phi) * step.sum(1)) ** 2 / (1 + k * (1 - phi) ** 2)
+    return np.where(k >= 3, np.nan_to_num(gain / (head**2 + (step**2).sum(1))), 0)
 
 
 def spike_flags(value: np.ndarray, group: np.ndarray, anchor: np.ndarray, m: SpikeModel = SpikeModel()) -> tuple[np.ndarray, np.ndarray]:
     """Spikes among the log values of many series, and the level each element was held against.
 
-    The level is the median of the nearest usable elements; the residuals follow a robust autoregression of first order, whose
-    forecast error must also be large. Additive outliers are taken out and the levels found again, until
-    none is left. A level shift, after which the following elements stay with the suspect and not with the elements before, is no
-    spike. Where there are fewer than three neighbours, ``anchor`` (the usual log value there) counts as one more.
+    The level is the median of the nearest usable elements, and what is left of each series a robust autoregression of first order. In each round an
+    element is tested as an additive outlier, by its distance from what the autoregression expects of its neighbours' residuals (the size must
+    be that of a spike, and ``significance`` spreads of the innovations), and as the first or last element of a level shift, by the share of
+    the innovations that a shift explains. It is a spike if it is an outlier and no shift. Outliers are left out of the
+    next round's level and fit, until none is found or cleared. Where there are fewer than three neighbours, ``anchor``
+    (the usual log value there) counts as one more.
     """
-    limit = np.log(m.ratio)
-    x = value.copy()
-    groups = int(group[-1]) + 1 if len(group) else 0
-    spike = np.zeros(len(x), bool)
-    level = np.full(len(x), np.nan)
-    for _ in range(m.rounds):
-        near = _neighbours(np.where(spike, np.nan, x), group, m.side)
+    limit, n, k = np.log(m.ratio), len(value), m.side
+    groups = int(group[-1]) + 1 if n else 0
+    spike, level = np.zeros(n, bool), np.full(n, np.nan)
+    for _ in range(m.rounds if n else 0):
+        near = _neighbours(np.where(spike, np.nan, value), group, k)
         few = (~np.isnan(near)).sum(1) < 3
-        near = np.column_stack([near, np.where(few, anchor, np.nan)])
-        level = _median(near)
-        res = x - level
-        phi = _phi(np.where(spike, np.nan, res), group, groups)
-        prev = np.zeros(len(x))
-        if len(x) > 1:
-            prev[1:] = np.where((group[1:] == group[:-1]) & ~spike[:-1], np.nan_to_num(np.clip(res[:-1], -limit / 2, limit / 2)), 0)
-        innovation = res - phi[group] * prev
-        suspect = (np.abs(res) > limit) & (np.abs(innovation) > limit / 2)
-        if m.side > 1:
-            before, after = _median(near[:, : m.side]), _median(near[:, m.side : 2 * m.side])
-            shift = (np.abs(before - after) > limit * 0.8) & (np.minimum(np.abs(x - before), np.abs(x - after)) < limit / 2)
-            suspect &= ~(shift & ((~np.isnan(near[:, m.side : 2 * m.side])).sum(1) >= 3) & ((~np.isnan(near[:, : m.side])).sum(1) >= 3))
-        new = suspect & ~spike
-        cleared = spike & ~(np.abs(res) > limit)
-        if not new.any() and not cleared.any():
+        level = _median(np.column_stack([near, np.where(few, anchor, np.nan)]))
+        res = value - level
+        ar = fit_autoregression(np.where(spike, np.nan, res), group, groups, m)
+        phi, sigma, clip = ar.phi[group], ar.sigma[group], ar.clip[group]
+        beside = _neighbours(np.where(spike, np.nan, res), group, 1)
+        has = ~np.isnan(beside)
+        carried = np.where(has, np.clip(beside, -clip[:, None], clip[:, None]), 0).sum(1)
+        size = res - phi * carried / np.where(has.all(1), 1 + phi**2, 1)
+        scale = np.where(has.all(1), np.sqrt(1 + phi**2), 1)
+        with np.errstate(invalid="ignore"):
+            outlier = (np.abs(size) > limit) & (np.abs(size) * scale > m.significance * sigma)
+        at = np.flatnonzero(outlier)
+        before, after = near[at, :k], near[at, k:]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = np.maximum(*(_shift_share(value[at] - side, other - side[:, None], phi[at]) for side, other in ((_median(before), after), (_median(after), before))))
+        new = outlier.copy()
+        new[at] = share < m.shift
+        with np.errstate(invalid="ignore"):
+            cleared = spike & ~(np.abs(res) > limit)
+        if not (new & ~spike).any() and not cleared.any():
             break
         spike = (spike | new) & ~cleared
     return spike, level
@@ -173,8 +212,8 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = pa.array(KINDS)
     for c in reports(batches):
         kind, price, level = judge(c)
-        raw_id, at = of_rows(c, c["own"] & (kind > 0))
-        yield pa.RecordBatch.from_pydict({"raw_id": raw_id, "kind": names.take(pa.array((kind[at] - 1).astype(np.int32))), "price": pa.array(price[at]), "level": pa.array(level[at], mask=np.isnan(level[at]))})
+        at = np.flatnonzero(kind)
+        yield kept(c, at, kind=names.take(pa.array((kind[at] - 1).astype(np.int32))), price=pa.array(price[at]), level=pa.array(level[at], mask=np.isnan(level[at])))
 
 
 def implausible(rows: DataFrame) -> DataFrame:
@@ -185,4 +224,4 @@ def implausible(rows: DataFrame) -> DataFrame:
     flagged; rows without variety or grade belong to no source and are only held against the limits. Repeated rows get
     one result each. An empty input gives no rows.
     """
-    return by_source(rows).mapInArrow(_flags, "raw_id long, kind string, price double, level double")
+    return of_all_rows(by_source(rows).mapInArrow(_flags, f"{KEPT_SCHEMA}, kind string, price double, level double"), rows)

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runs import starts, whole_reports
+from ..functions.runs import group_median, starts, whole_groups
+from ..util import cut, small
 
 #: Units in the order of their codes, and the price in them of one rupee a quintal.
 UNITS = ("quintal", "kg", "20kg", "40kg", "50kg", "tonne")
@@ -59,6 +60,8 @@ class UnitModel:
     leave: float = 2.6  #: to go back to quintals
     swap: float = 9.0  #: between two other units
     sigma: float = 0.09  #: spread of a report about the level of its source
+    sigma_mixed: float = 0.3  #: the same where variety or grade are missing, so a source mixes several
+    sigma_weight: float = 4.0  #: steps between reports that these count as; they are the least taken
     drift: float = 0.012  #: further spread per root of a day since the report before
     spike: float = 7.5  #: most that a report costs that is more than three times off the level
     off: float = 11.0  #: most that a report between the spread and three times costs
@@ -85,14 +88,17 @@ ENDINGS = ("hundreds", "other fifties", "other tens", "other fives", "other even
 _OF_HUNDRED = np.array([1, 1, 8, 10, 40, 40])
 
 
+_HUNDRED = np.arange(100)
+_PLACE = np.select([_HUNDRED == 0, _HUNDRED % 50 == 0, _HUNDRED % 10 == 0, _HUNDRED % 5 == 0, _HUNDRED % 2 == 0], range(5), 5)
+
+
 def _ending(rupees: np.ndarray) -> np.ndarray:
     """Place in ENDINGS."""
-    kinds = [rupees % 100 == 0, rupees % 50 == 0, rupees % 10 == 0, rupees % 5 == 0, rupees % 2 == 0]
-    return np.select(kinds, range(5), 5)
+    return _PLACE[rupees.astype(np.int64) % 100]
 
 
-def digit_costs(first: np.ndarray, prices: list[np.ndarray], y: np.ndarray, anchor: np.ndarray, m: UnitModel) -> np.ndarray:
-    """Cost of the digits of each report's prices in each unit.
+def digit_costs(first: np.ndarray, prices: list[np.ndarray], y: np.ndarray, anchor: np.ndarray, m: UnitModel) -> tuple[np.ndarray, np.ndarray]:
+    """Cost of the digits of each report's prices in each unit, and their cost if the price is wrong and so doesn't follow the source's rounding.
 
     Prices per quintal are taken as whole rupees, so a price in another unit is a whole number times the unit's factor: of the prices near a level
     each unit allows some only, and the fewer it allows, the more one that fits tells (its probability is one over the number of rupees). How often a source
@@ -112,15 +118,33 @@ def digit_costs(first: np.ndarray, prices: list[np.ndarray], y: np.ndarray, anch
         rupees = x[at] / guess[at]
         whole = np.abs(rupees - np.round(rupees)) < 1e-3
         seen += np.bincount(source[at][whole] * k + _ending(np.round(rupees[whole])), minlength=k * len(first)).reshape(-1, k)
-    density = (seen / seen.sum(1, keepdims=True) * 100 / _OF_HUNDRED)[source]
-    out = np.zeros((n, len(UNITS)))
+    density = m.digits * np.log(seen / seen.sum(1, keepdims=True) * 100 / _OF_HUNDRED)
+    right, wrong = np.zeros((n, len(UNITS))), np.zeros((n, len(UNITS)))
     for x, at in zip(prices, tells):
+        known = density[source[at]]
         for u, f in enumerate(FACTORS):
             rupees = x[at] / f
             near = np.round(rupees)
-            share = density[at, _ending(near)]
-            out[at, u] += np.where(np.abs(rupees - near) < 1e-3, m.digits * np.log(rupees / share), m.digits * np.log(rupees) + m.fraction)
-    return out
+            fits = np.abs(rupees - near) < 1e-3
+            plain = m.digits * np.log(rupees) + np.where(fits, 0, m.fraction)
+            wrong[at, u] += plain
+            right[at, u] += plain - np.where(fits, known[np.arange(len(near)), _ending(near)], 0)
+    return right, wrong
+
+
+def _spread(first: np.ndarray, y: np.ndarray, named: np.ndarray, m: UnitModel) -> np.ndarray:
+    """Spread of each source's reports about its level, from the median step between them; units change too seldom to matter."""
+    n = len(y)
+    source = np.zeros(n, np.int64)
+    source[first[1:]] = 1
+    source = np.cumsum(source)
+    step = np.abs(np.diff(y))
+    ok = (source[1:] == source[:-1]) & ~np.isnan(step)
+    median, count = group_median(step[ok], source[1:][ok], len(first))
+    prior = np.where(named[first], m.sigma, m.sigma_mixed)
+    return np.maximum(prior, (median * 1.05 * count + prior * m.sigma_weight) / (count + m.sigma_weight))
+
+
 
 
 def _clue_costs(remark: np.ndarray, variety: np.ndarray) -> np.ndarray:
@@ -145,7 +169,7 @@ def quote(modal: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return np.log(np.where(good & ~odd, modal, mid))
 
 
-def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.ndarray, high: np.ndarray, remark: np.ndarray, variety: np.ndarray, anchor: np.ndarray, m: UnitModel = UnitModel()) -> np.ndarray:
+def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.ndarray, high: np.ndarray, remark: np.ndarray, variety: np.ndarray, anchor: np.ndarray, named: np.ndarray, m: UnitModel = UnitModel()) -> np.ndarray:
     """Viterbi paths of the units of many sources at once.
 
     ``first`` has where each source begins; rows are in order of day. The hidden state is the unit. Every
@@ -156,12 +180,13 @@ def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.
     n, k = len(day), len(UNITS)
     size = np.diff(np.append(first, n))
     order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
     y = quote(modal, low, high)
     seen = ~np.isnan(y)
     emit = _clue_costs(remark, variety)
+    spread = _spread(first, y, named, m)[order]
     with np.errstate(invalid="ignore"):
-        emit += digit_costs(np.sort(first), [np.where((x > 0) & (x < 1e6), x, np.nan) for x in (modal, low, high)], y, anchor, m)
+        right, wrong = digit_costs(first, [np.where((x > 0) & (x < 1e6), x, np.nan) for x in (modal, low, high)], y, anchor, m)
+    first, size = first[order], size[order]
     move = np.full((k, k), m.swap)
     move[0, 1:], move[1:, 0] = m.enter, m.leave
     np.fill_diagonal(move, 0.02)
@@ -181,14 +206,16 @@ def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.
             lv = level[:a]
         v = y[at][:, None] - _LOG_F[None]  # a, state
         gap = np.maximum(day[at] - last[:a], 0)
-        sd = np.sqrt(m.sigma**2 + m.drift**2 * gap)[:, None, None]
+        sigma = spread[:a, None]
+        sd = np.sqrt(sigma**2 + m.drift**2 * gap[:, None])[:, None]
         jump = v[:, None, :] - lv[:, :, None]
         new = np.isnan(jump)
         jump = np.where(new, 0, jump)
         again = np.abs(np.where(new, 0, v[:, None, :] - recent[:a][:, :, None]))
         away = np.abs(jump)
-        fit = np.minimum(0.5 * (away / sd) ** 2, np.where(away > 1.1, m.spike, m.off))
-        fit = np.minimum(fit, 0.5 * (again / sd) ** 2 + m.shift)
+        fit = np.minimum(0.5 * (away / sd) ** 2, np.where(away > 1.1, np.inf, m.off))
+        fit = np.minimum(fit, 0.5 * (again / sd) ** 2 + m.shift) + right[at][:, None, :]
+        fit = np.minimum(fit, np.where(away > 1.1, m.spike, np.inf) + wrong[at][:, None, :])
         away = np.minimum(0.5 * ((v - np.nan_to_num(anchor[at])[:, None]) / m.anchor_sigma) ** 2, 8.0)
         here = np.where(has_anchor[at][:, None], away, 0)
         here = here * np.where(new[:, 0, :], m.anchor_first, m.anchor_weight)
@@ -199,7 +226,7 @@ def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.
         took = np.take_along_axis(total, came[:, None, :], 1)[:, 0, :] + emit[at]
         was = np.take_along_axis(lv, came, 1)
         off, close = v - was, np.abs(v - np.take_along_axis(recent[:a], came, 1))
-        moved = np.where(np.isnan(was) | ((close < np.abs(off)) & (np.abs(off) > 3 * m.sigma)), v, was + np.where(np.abs(off) > 0.5, 0.02 * np.sign(off), m.gain * off))
+        moved = np.where(np.isnan(was) | ((close < 3 * sigma) & (np.abs(off) > 3 * sigma)), v, was + np.where(np.abs(off) > 0.5, 0.02 * np.sign(off), m.gain * off))
         recent[:a] = np.where(seen[at][:, None], v, np.take_along_axis(recent[:a], came, 1))
         level[:a] = np.where(seen[at][:, None], moved, was)
         last[:a] = np.where(seen[at], day[at], last[:a])
@@ -215,11 +242,9 @@ def decode_units(first: np.ndarray, day: np.ndarray, modal: np.ndarray, low: np.
 
 
 #: Columns of the narrow rows that units and spikes are found in, in the order of ``narrow``.
-NARROW = ("source", "part", "own", "day", "raw_id", "modal", "low", "high", "remark", "variety_clue", "anchor", "named")
-
-#: Rows from which ``split_hot`` cuts a source into stretches of days, each with its neighbours' days about it.
-HOT_ROWS = 200_000
-HALO_DAYS = 90
+NARROW = ("source", "day", "raw_id", "modal", "low", "high", "remark", "variety_clue", "anchor", "named")
+#: Those that two rows of one report have in common.
+CONTENT = tuple(c for c in NARROW if c != "raw_id")
 
 
 def anchors(prices: DataFrame) -> DataFrame:
@@ -239,8 +264,7 @@ def narrow(prices: DataFrame, market_ids: DataFrame, anchor: DataFrame) -> DataF
     """Price rows as NARROW, one per row.
 
     ``source`` is a hash of the market under all its spellings, commodity, variety without unit endings and grade. ``market_ids`` (state,
-    district, market, market_id) and ``anchor`` are joined as the planner sees fit. A source is
-    one ``part`` and reports all rows as its ``own``."""
+    district, market, market_id) and ``anchor`` are joined as the planner sees fit."""
     p = prices.select(
         "raw_id", "state", "district", "market", "commodity", plain_variety(F.col("variety")).alias("pv"), "grade", F.trunc("arrival_date", "month").alias("month"),
         F.unix_date("arrival_date").alias("day"), F.col("modal_price").alias("modal"), F.col("min_price").alias("low"), F.col("max_price").alias("high"),
@@ -251,47 +275,54 @@ def narrow(prices: DataFrame, market_ids: DataFrame, anchor: DataFrame) -> DataF
     ids = market_ids.select(*(F.col(c).alias(f"k_{c}") for c in names), "market_id")
     p = p.join(ids, reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in names]), "left").drop(*(f"k_{c}" for c in names))
     p = p.join(anchor, ["state", "commodity", "month"], "left")
-    p = p.withColumns({"source": F.xxhash64(F.coalesce("market_id", F.xxhash64(*names)), "commodity", F.coalesce("pv", F.lit("\0")), F.coalesce("grade", F.lit("\0"))), "part": F.lit(0), "own": F.lit(True), "day": F.coalesce("day", F.lit(-1_000_000))})
+    p = p.withColumns({"source": F.xxhash64(F.coalesce("market_id", F.xxhash64(*names)), "commodity", F.coalesce("pv", F.lit("\0")), F.coalesce("grade", F.lit("\0"))), "day": F.coalesce("day", F.lit(-1_000_000))})
     return p.select(*NARROW)
 
 
-def split_hot(rows: DataFrame, hot_rows: int = HOT_ROWS, halo: int = HALO_DAYS) -> DataFrame:
-    """Cut sources of more than ``hot_rows`` rows into stretches of days; ``rows`` is stored, as it is read twice.
+def by_source(rows: DataFrame) -> DataFrame:
+    """Different reports, those of a source together and in order of day and last receipt.
+
+    Repeated rows are collapsed, within tasks first and then spread over their whole content, before a source is brought together: a source is sorted in one task, but as
+    a calendar of reports and their corrections, not as rows. ``first_id``, ``raw_id`` (the last one), ``ids_xor`` and ``copies`` stand for the rows of a report.
+    """
+    once = rows.groupBy(*CONTENT).agg(F.min("raw_id").alias("first_id"), F.max("raw_id").alias("raw_id"), F.bit_xor("raw_id").alias("ids_xor"), F.count("*").alias("copies"))
+    return once.repartition("source").sortWithinPartitions("source", "day", "raw_id")
+
 
-    What depends on a whole source (levels from afar, how often it repeats its price, long stuck runs) is then told by a stretch only. The
-    queries don't use this: repeated rows are collapsed as a source is read (``whole_reports``), so it stays whole.
+def reports(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole sources of reports by ``by_source``."""
+    return whole_groups(batches, ["source"])
 
-    There are fewer such sources than rows / ``hot_rows``, so their list is short whatever the input."""
-    span = rows.groupBy("source").agg(F.count("*").alias("n"), F.min("day").alias("a"), F.max("day").alias("b")).filter(F.col("n") > hot_rows)
-    hot = span.select("source", F.greatest(F.lit(30), F.ceil((F.col("b") - F.col("a") + 1) * hot_rows / F.col("n"))).cast("int").alias("len"))
-    j = rows.join(F.broadcast(hot), "source", "left")
-    parts = F.when(F.col("len").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.floor((F.col("day") - halo) / F.col("len")), F.floor((F.col("day") + halo) / F.col("len"))))
-    j = j.withColumn("part", F.explode(parts)).withColumn("own", F.col("len").isNull() | (F.floor(F.col("day") / F.col("len")) == F.col("part")))
-    return j.withColumn("part", F.col("part").cast("int")).select(*NARROW)
 
+_KEPT = ("source", "day", "modal", "low", "high", "remark", "variety_clue", "first_id", "raw_id", "ids_xor", "copies")
+KEPT_SCHEMA = "source long, day int, modal double, low double, high double, remark byte, variety_clue byte, first_id long, raw_id long, ids_xor long, copies long"
 
-def by_source(rows: DataFrame) -> DataFrame:
-    """Rows of a source together and in order of day, repeated ones next to each other by receipt."""
-    keys = ["source", "part", "day", *(c for c in NARROW if c not in ("source", "part", "day", "raw_id")), "raw_id"]
-    return rows.repartition("source", "part").sortWithinPartitions(*keys)
 
+def kept(c: dict[str, np.ndarray], at: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
+    """What ``of_all_rows`` needs of the reports ``at``, and what was found of them."""
+    return pa.RecordBatch.from_pydict({**{k: _null(c[k][at]) for k in _KEPT}, **more})
 
-def reports(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole sources of rows by ``by_source``, repeated rows once, in order of day and last receipt."""
-    return whole_reports(batches, ["source", "part"], "raw_id", ["day", "raw_id"])
 
+def of_all_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Findings about reports (by ``kept``) as one row for each of their ``rows``.
 
-def of_rows(c: dict[str, np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rows that the kept reports stand for, and the report of each."""
-    report = np.repeat(np.arange(len(keep)), c["size"])
-    row = keep[report]
-    return c["ids"][row], report[row]
+    First, last and the exclusive or of the ids give up to three of them; rows of reports that were received more often are looked up by content.
+    """
+    found = cut(found)
+    more = [c for c in found.columns if c not in _KEPT]
+    ids = F.when(F.col("copies") == 1, F.array("raw_id")).when(F.col("copies") == 2, F.array("first_id", "raw_id"))
+    ids = ids.otherwise(F.array("first_id", "raw_id", F.col("ids_xor").bitwiseXOR(F.col("first_id")).bitwiseXOR(F.col("raw_id"))))
+    few = found.filter("copies <= 3").select(F.explode(ids).alias("raw_id"), *more)
+    many = found.filter("copies > 3").select(*(F.col(c).alias(f"k_{c}") for c in _KEPT[:7]), *more)
+    if many.isEmpty():
+        return few
+    return few.unionByName(rows.join(small(many), reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in _KEPT[:7]])).select("raw_id", *more))
 
 
 def decoded(c: dict[str, np.ndarray], model: UnitModel = UnitModel()) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the sources and the unit codes of a run of whole sources."""
-    first = starts(c["source"], c["part"])
-    unit = decode_units(first, c["day"], c["modal"], c["low"], c["high"], c["remark"], c["variety_clue"], c["anchor"], model)
+    first = starts(c["source"])
+    unit = decode_units(first, c["day"], c["modal"], c["low"], c["high"], c["remark"], c["variety_clue"], c["anchor"], c["named"], model)
     return first, unit
 
 
@@ -299,15 +330,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = pa.array(UNITS)
     for c in reports(batches):
         _, unit = decoded(c)
-        raw_id, at = of_rows(c, c["own"] & (unit > 0))
+        at = np.flatnonzero(unit)
         f = FACTORS[unit[at]]
-        yield pa.RecordBatch.from_pydict(
-            {"raw_id": raw_id, "unit": names.take(pa.array(unit[at].astype(np.int32))), **{f"{out}_price": _null(c[k][at] / f) for k, out in (("modal", "modal"), ("low", "min"), ("high", "max"))}}
-        )
+        yield kept(c, at, unit=names.take(pa.array(unit[at].astype(np.int32))), **{f"{out}_price": _null(c[k][at] / f) for k, out in (("modal", "modal"), ("low", "min"), ("high", "max"))})
 
 
 def _null(x: np.ndarray) -> pa.Array:
-    return pa.array(x, mask=np.isnan(x))
+    return pa.array(x, mask=np.isnan(x) if x.dtype.kind == "f" else None)
 
 
 def other_units(rows: DataFrame) -> DataFrame:
@@ -317,4 +346,4 @@ def other_units(rows: DataFrame) -> DataFrame:
     ``rows`` is NARROW. Missing prices stay missing; a row without any usable price has the unit of the reports about it; a row
     without a date comes before the dated ones of its source; repeated rows count once and get one result each. An empty input gives no rows.
     """
-    return by_source(rows).mapInArrow(_units, "raw_id long, unit string, modal_price double, min_price double, max_price double")
+    return of_all_rows(by_source(rows).mapInArrow(_units, f"{KEPT_SCHEMA}, unit string, modal_price double, min_price double, max_price double"), rows)

@@ -4,13 +4,11 @@ import datetime as dt
 import random
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from haatgrid.functions.runs import whole_reports
 from haatgrid.operators import units
 from haatgrid.operators.spikes import implausible, spike_flags, stuck_flags
-from haatgrid.operators.units import UNITS, anchors, narrow, other_units, split_hot
+from haatgrid.operators.units import UNITS, anchors, narrow, other_units
 from haatgrid.util import cut
 
 SCHEMA = "raw_id long, state string, district string, market string, commodity string, variety string, grade string, arrival_date date, min_price double, max_price double, modal_price double, remarks string"
@@ -56,7 +54,7 @@ def made(seed=3, days=120):
 def prepared(spark, rows):
     p = spark.createDataFrame(rows, SCHEMA)
     ids = p.select("state", "district", "market").distinct().withColumn("market_id", F.xxhash64("state", "district", "market"))
-    return split_hot(cut(narrow(p, ids, anchors(p))))
+    return cut(narrow(p, ids, anchors(p)))
 
 
 def test_units_and_spikes_of_made_series(spark):
@@ -80,7 +78,7 @@ def decode_one(prices, remark=0, low=None, high=None, digits=None, anchor=np.nan
     m = units.UnitModel() if digits is None else units.UnitModel(digits=digits)
     b = [np.full(n, np.nan) if v is None else np.array(v, float) for v in (low, high)]
     codes = np.zeros(n, np.int8) if np.isscalar(remark) else np.array(remark, np.int8)
-    return [UNITS[u] for u in units.decode_units(np.array([0]), np.arange(n), x, *b, codes, np.zeros(n, np.int8), np.full(n, anchor), m)]
+    return [UNITS[u] for u in units.decode_units(np.array([0]), np.arange(n), x, *b, codes, np.zeros(n, np.int8), np.full(n, anchor), np.ones(n, bool), m)]
 
 
 def test_stuck_round_prices_stay_quintals():
@@ -119,14 +117,15 @@ def test_a_quintal_remark_weighs_against_another_unit():
     assert decode_one(prices, remark=[0] * 40 + [6] * 3 + [0] * 5, digits=0)[40:43] == ["tonne"] * 3
 
 
-def test_hot_sources_are_split(spark):
-    rows, unit, _ = made(days=200)
-    p = cut(spark.createDataFrame(rows, SCHEMA))
-    ids = p.select("state", "district", "market").distinct().withColumn("market_id", F.xxhash64("state", "district", "market"))
-    x = cut(narrow(p, ids, anchors(p)))
-    split = split_hot(x, hot_rows=60, halo=30)
-    assert split.filter("own").count() == len(rows) and split.select("part").distinct().count() > 2
-    assert {r["raw_id"]: r["unit"] for r in other_units(split).collect()} == unit
+def test_any_number_of_copies_gets_its_results(spark):
+    rows, unit, bad = made()
+    many = [(r[0] + 100_000 * k, *r[1:]) for r in rows for k in range(1 + r[0] % 6)]
+    n = prepared(spark, many)
+    want = {(r[0], unit[r[0] % 100_000]) for r in many if r[0] % 100_000 in unit}
+    got = [(r["raw_id"], r["unit"]) for r in other_units(n).collect()]
+    assert set(got) == want and len(got) == len(want)
+    got = [r["raw_id"] for r in implausible(n).collect()]
+    assert sorted(got) == sorted(r[0] for r in many if r[0] % 100_000 in bad)
 
 
 def test_long_stuck_run_of_a_hot_source(spark, tmp_path):
@@ -145,28 +144,6 @@ def test_long_stuck_run_of_a_hot_source(spark, tmp_path):
     assert tuple(got) == (400 * 2000, 150, 549)
 
 
-def test_repeated_rows_are_collapsed_over_batches():
-    rnd = np.random.default_rng(2)
-    n = 900
-    x = np.sort(rnd.integers(0, 40, n)) // 2
-    day, y = rnd.integers(0, 3, n), np.where(rnd.random(n) < 0.3, np.nan, rnd.integers(0, 2, n))
-    i = rnd.permutation(n)
-    to = np.lexsort([i, y, day, x])
-    x, day, y, i = x[to], day[to], y[to], i[to]
-    for step, rows in ((1, 10), (7, 40), (n, 5), (50, 10_000)):
-        parts = [pa.RecordBatch.from_pydict({"g": x[a : a + step], "day": day[a : a + step], "y": y[a : a + step], "id": i[a : a + step]}) for a in range(0, n, step)]
-        seen, ids = set(), []
-        for c in whole_reports(iter(parts), ["g"], "id", ["day", "id"], rows):
-            assert not seen & set(c["g"].tolist()) and c["size"].sum() == len(c["ids"])
-            seen |= set(c["g"].tolist())
-            assert (np.lexsort([c["id"], c["day"], c["g"]]) == np.arange(len(c["g"]))).all()
-            back = {int(k): (int(c["g"][r]), int(c["day"][r]), str(c["y"][r])) for k, r in zip(c["ids"], np.repeat(np.arange(len(c["g"])), c["size"]))}
-            assert len(set(back.values())) == len(c["g"])
-            assert all(back[k] == (a, b, str(v)) for k, a, b, v in zip(i.tolist(), x.tolist(), day.tolist(), y.tolist()) if k in back)
-            ids += c["ids"].tolist()
-        assert sorted(ids) == list(range(n))
-
-
 def test_nulls_and_empty(spark):
     rows = [(1, "S", "D", None, "Onion", None, None, None, None, None, None, None), (2, None, None, None, None, None, None, None, 0.0, 0.0, -1.0, ""), (3, "S", "D", "M", "Onion", "v", "FAQ", dt.date(2024, 1, 1), None, None, float("nan"), "x" * 5000)]
     n = prepared(spark, rows)
@@ -176,6 +153,33 @@ def test_nulls_and_empty(spark):
     assert other_units(e).count() == 0 and implausible(e).count() == 0
 
 
+def test_the_autoregression_decides(monkeypatch):
+    """Excursions of a source whose residuals last are expected by the fitted coefficient; without it they are spikes."""
+    from haatgrid.operators import spikes
+
+    rng, x = np.random.default_rng(4), np.zeros(600)
+    for i in range(1, 600):
+        x[i] = 0.35 * x[i - 1] + rng.normal(0, 0.27)
+    x[[100, 300]] += 2.0
+    value, group, anchor = 7 + x, np.zeros(600, np.int64), np.full(600, np.nan)
+    at = np.array([200, 201, 202, 400, 401, 402])
+    value[at] = 7 + np.array([0.8, 1.4, 0.8] * 2)
+    fitted = set(np.flatnonzero(spike_flags(value, group, anchor)[0]))
+    assert {100, 300} <= fitted and not fitted & set(at)
+    fit = spikes.fit_autoregression
+    monkeypatch.setattr(spikes, "fit_autoregression", lambda *a: spikes.Autoregression(fit(*a).phi * 0, fit(*a).sigma, fit(*a).clip))
+    without = set(np.flatnonzero(spike_flags(value, group, anchor)[0]))
+    assert {201, 401} <= without and {100, 300} <= without
+
+
+def test_spikes_in_a_row_are_no_shift():
+    for k in (1, 2, 3):
+        x = np.full(40, 8.0)
+        x[20 : 20 + k] += np.log(5)
+        spike, _ = spike_flags(x, np.zeros(40, np.int64), np.full(40, np.nan))
+        assert np.flatnonzero(spike).tolist() == list(range(20, 20 + k))
+
+
 def test_level_shift_is_no_spike():
     x = np.log(np.array([100.0] * 10 + [450.0] * 10))
     spike, _ = spike_flags(x, np.zeros(20, np.int64), np.full(20, np.nan))
