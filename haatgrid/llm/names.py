@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.names import QUALIFIER, deletes, fold, split_name, words
 from ..util import cut
 
-_PARTS = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("joined", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))])
+_PARTS = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("keys", T.ArrayType(T.StringType()))])
 _QUALIFIER_WORDS = {w for q in QUALIFIER for w in q.split()}
 
 #: Cost from which two names are never taken for one, and the lead that the best candidate needs to be taken without further evidence.
@@ -18,20 +18,32 @@ MOST_COST = 3.6
 CLEAR_LEAD = 1.2
 
 
+def index_keys(place: str) -> set[str]:
+    """Keys by which a place is looked up, of the whole and of each of its words: what up to two deletions leave of the first and of the last seven letters, so
+    edits are found where two at most lie in either; the first four letters, for abbreviations; a short word as it is."""
+    own: set[str] = set()
+    for t in {place.replace(" ", ""), *place.split()}:
+        f = fold(t)
+        if len(t) < 4:
+            own.add(f"={f}")
+            continue
+        own.update(deletes(f))
+        own.add(f"^{f[:4]}")
+        if len(f) > 7:
+            own.update(f"${x}" for x in deletes(f[-7:]))
+    return own
+
+
 @F.pandas_udf(_PARTS)
 def _parts(names: pd.Series) -> pd.DataFrame:
-    """Tokens of a name, its place in one word, and the deletion neighbourhoods of each token of the place and of the whole."""
-    tokens, joined, keys = [], [], []
+    """Tokens of a name, its place in one word, and its index keys (see ``index_keys``)."""
+    tokens, keys = [], []
     for name in names:
         place, qualifier = split_name(name)
         tokens.append([*place.split(), *qualifier.split()])
-        joined.append(fold(place))
-        own = set(deletes(fold(place)))
-        for t in place.split():
-            if len(t) >= 4:
-                own.update(deletes(fold(t)))
+        own = index_keys(place)
         keys.append(sorted(own))
-    return pd.DataFrame({"tokens": tokens, "joined": joined, "keys": keys})
+    return pd.DataFrame({"tokens": tokens, "keys": keys})
 
 
 @F.pandas_udf(T.StringType())
@@ -78,27 +90,51 @@ def token_cost(a: str, b: str) -> float:
     return float(d) if d <= max(1, min(len(fa), len(fb)) // 3 + 1) else 9.0
 
 
+def _assignment(cost: list[list[float]]) -> float:
+    """Least sum of a square matrix with one entry taken from each row and column, by shortest augmenting paths."""
+    n, none = len(cost), 1e9
+    row_of, u, v = [-1] * (n + 1), [0.0] * n, [0.0] * (n + 1)
+    for i in range(n):
+        row_of[n], j0 = i, n
+        least, way, done = [none] * (n + 1), [n] * (n + 1), [False] * (n + 1)
+        while row_of[j0] >= 0:
+            done[j0], i0, step, j1 = True, row_of[j0], none, n
+            for j in range(n):
+                if not done[j]:
+                    x = cost[i0][j] - u[i0] - v[j]
+                    if x < least[j]:
+                        least[j], way[j] = x, j0
+                    if least[j] < step:
+                        step, j1 = least[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            j0 = j1
+        while j0 != n:
+            row_of[j0], j0 = row_of[way[j0]], way[j0]
+    return sum(cost[row_of[j]][j] for j in range(n))
+
+
 def align(a: list[str], b: list[str]) -> float:
-    """Least cost of an assignment of the tokens of a to those of b, found by dynamic programming over the sets of used tokens.
+    """Least cost of an assignment of the tokens of a to those of b, of any number.
 
     A token left alone costs 3 where it tells yards of one town apart, else 2.5. The order of tokens does not count."""
-    if len(a) > len(b):
-        a, b = b, a
-    b = b[:12]
-    alone = [3.0 if t in _QUALIFIER_WORDS else 2.5 for t in b]
-    best = {0: 0.0}
-    for t in a:
-        left = 3.0 if t in _QUALIFIER_WORDS else 2.5
-        new: dict[int, float] = {}
-        costs = [token_cost(t, u) for u in b]
-        for used, c in best.items():
-            if c + left < new.get(used, 99.0):
-                new[used] = c + left
-            for j, x in enumerate(costs):
-                if not used >> j & 1 and c + x < new.get(used | 1 << j, 99.0):
-                    new[used | 1 << j] = c + x
-        best = new
-    return min((c + sum(x for j, x in enumerate(alone) if not used >> j & 1) for used, c in best.items()), default=sum(alone))
+    rest_a, rest_b = list(a), list(b)
+    for t in a:  # equal tokens meet: no other use of one costs less
+        if t in rest_b:
+            rest_a.remove(t)
+            rest_b.remove(t)
+    alone = lambda t: 3.0 if t in _QUALIFIER_WORDS else 2.5
+    n, m = len(rest_a), len(rest_b)
+    if not n or not m:
+        return sum(map(alone, rest_a + rest_b), 0.0)
+    if n == m == 1:
+        return min(token_cost(rest_a[0], rest_b[0]), alone(rest_a[0]) + alone(rest_b[0]))
+    rows = [[token_cost(t, x) for x in rest_b] + [alone(t)] * n for t in rest_a] + [[alone(x) for x in rest_b] + [0.0] * n for _ in range(m)]
+    return _assignment(rows)
 
 
 def name_cost(a: list[str], b: list[str]) -> float:
@@ -116,15 +152,22 @@ def name_cost(a: list[str], b: list[str]) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _cost(a: pd.Series, b: pd.Series, da: pd.Series, db: pd.Series) -> pd.Series:
-    """Cost of names a and b of districts da and db."""
-    return pd.Series([name_cost(list(x), list(y)) + 0.6 * edits(p, q) for x, y, p, q in zip(a, b, da, db)], dtype="float64")
+    """Cost of names a and b of districts da and db; where the districts alone cost too much, the names are not looked at."""
+    places: dict[tuple[str, str], float] = {}
+    out = []
+    for x, y, p, q in zip(a, b, da, db):
+        if (p, q) not in places:
+            places[p, q] = 0.6 * edits(p, q)
+        c = places[p, q]
+        out.append(c if c > MOST_COST else c + name_cost(list(x), list(y)))
+    return pd.Series(out, dtype="float64")
 
 
 def link_names(names: DataFrame, registry: DataFrame, reports: DataFrame | None = None, id_col: str = "name_id") -> DataFrame:
     """Each name with the ``entity`` (a string) it is taken for and the ``cost`` of that (null where no entity of the registry fits).
 
     ``names`` has ``id_col``, state, district and market; ``registry`` the known markets under the last three columns. Candidates come
-    from a symmetric-delete index on the tokens of the place, within the state; they are scored by the optimal assignment of tokens,
+    from a symmetric-delete index on the tokens of the place, within the state; every one is scored by the optimal assignment of tokens,
     which permits other orders, abbreviations and initials, and by the edits of the district. A name takes the entity of least cost.
 
     Where the second candidate is nearly as good, ``reports`` decides if given: it has state, district, market, and ``series`` and
@@ -134,12 +177,11 @@ def link_names(names: DataFrame, registry: DataFrame, reports: DataFrame | None
     are entities by their normal form. Null names count as empty. An empty input gives no rows.
     """
     n = names.select(F.col(id_col).alias("id"), "state", "district", "market", _parts("market").alias("p"), _folded("district").alias("fd"), _folded("state").alias("fs"))
-    n = cut(n.select("id", "state", "district", "market", "p.tokens", "p.joined", "p.keys", "fd", "fs"))
+    n = cut(n.select("id", "state", "district", "market", "p.tokens", "p.keys", "fd", "fs"))
     a = registry.select("state", "district", "market").distinct().select(F.concat_ws("|", "state", "district", "market").alias("entity"), _parts("market").alias("p"), _folded("district").alias("ad"), _folded("state").alias("fs"), "state", "district", "market")
-    a = cut(a.select("entity", F.col("p.tokens").alias("a_tokens"), F.col("p.joined").alias("a_joined"), F.col("p.keys").alias("keys"), "ad", "fs", "state", "district", "market"))
-    near = n.select("id", "fs", "joined", "fd", F.explode("keys").alias("key")).join(a.select("entity", "fs", "a_joined", "ad", F.explode("keys").alias("key")), ["fs", "key"])
-    close = (F.levenshtein("joined", "a_joined") <= 4) | F.col("joined").contains(F.substring("a_joined", 1, 5)) | F.col("a_joined").contains(F.substring("joined", 1, 5))
-    near = near.filter(close & (F.levenshtein("fd", "ad") <= 3)).select("id", "entity").distinct()
+    a = cut(a.select("entity", F.col("p.tokens").alias("a_tokens"), F.col("p.keys").alias("keys"), "ad", "fs", "state", "district", "market"))
+    near = n.select("id", "fs", F.explode("keys").alias("key")).join(a.select("entity", "fs", F.explode("keys").alias("key")), ["fs", "key"]).select("id", "entity")
+    near = near.distinct()
     scored = near.join(n.select("id", "tokens", "fd"), "id").join(a.select("entity", "a_tokens", "ad"), "entity")
     scored = scored.withColumn("cost", _cost("tokens", "a_tokens", "fd", "ad")).filter(F.col("cost") <= MOST_COST).select("id", "entity", "cost")
     by_id = Window.partitionBy("id")
