@@ -19,8 +19,10 @@ SEED, SEED_ITEMS = 4, 3
 SHARED, SHARED_ITEMS = 5, 4
 #: Costs in matched words of a changed word and of one added or dropped.
 CHANGED, MOVED = 2.5, 2.5
-#: Words about the first and last seed that are aligned.
-MARGIN = 40
+#: Score by own word spanned from which an alignment counts though another scores more.
+DENSE = 0.5
+#: Words beyond an item's length about the first and last seed of a window that are aligned, and positions whose seeds share a window.
+MARGIN, WINDOW = 40, 512
 #: Documents whose words are given on together.
 _SLICE = 500
 
@@ -49,7 +51,8 @@ def align_many(items: list[np.ndarray], own: list[np.ndarray], texts: list[np.nd
     """Smith-Waterman alignments of many pairs of word-number sequences at once, diagonal by diagonal.
 
     A match of an item's own word counts one, of a shared one nothing; changed, added and dropped words cost. Returns for each pair the best
-    score and the number of the item's own words that its alignment spans."""
+    score and the most of the item's own words that are spanned by the alignment of that score or by another, ending in a match, whose score is
+    at least DENSE of what it spans: a piece with changes may be longer than one without that scores more."""
     b = len(items)
     n, m = max(map(len, items), default=0), max(map(len, texts), default=0)
     if not b or not n or not m:
@@ -57,7 +60,7 @@ def align_many(items: list[np.ndarray], own: list[np.ndarray], texts: list[np.nd
     a, o, t = np.full((b, n), -1, np.int64), np.zeros((b, n), np.int16), np.full((b, m), -2, np.int64)
     for k in range(b):
         a[k, : len(items[k])], o[k, : len(items[k])], t[k, : len(texts[k])] = items[k], own[k], texts[k]
-    best, span = np.zeros(b), np.zeros(b, int)
+    best, at_best, long = np.zeros(b), np.zeros(b, int), np.zeros(b, int)
     # h1, h2: scores of the two diagonals before, by item position + 1; c1, c2: own words spanned
     h1, h2 = np.zeros((b, n + 1), np.float32), np.zeros((b, n + 1), np.float32)
     c1, c2 = np.zeros((b, n + 1), np.int16), np.zeros((b, n + 1), np.int16)
@@ -74,11 +77,12 @@ def align_many(items: list[np.ndarray], own: list[np.ndarray], texts: list[np.nd
         top = h[np.arange(b), k]
         better = top > best
         best = np.where(better, top, best)
-        span = np.where(better, c[np.arange(b), k], span)
+        at_best = np.where(better, c[np.arange(b), k], at_best)
+        long = np.maximum(long, np.where(match & (h >= DENSE * c), c, 0).max(1))
         h2, c2 = h1, c1
         h1, c1 = np.zeros_like(h1), np.zeros_like(c1)
         h1[:, lo + 1 : hi + 2], c1[:, lo + 1 : hi + 2] = h, c
-    return best, span
+    return best, np.maximum(at_best, long)
 
 
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,8 +101,8 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
 
     Words are compared without case, punctuation and markup; what references, templates, comments and captions say is searched on its own and in its
     place, the text about it with and without it (see ``text.streams``). Runs of SEED words that at most SEED_ITEMS items share are the
-    seeds; each pair of a document and an item with a common seed is aligned about its seeds (Smith-Waterman), where words may be changed, added or
-    dropped. Words in runs that at least SHARED_ITEMS items have (instructions) are not an item's own and do not count. All documents are
+    seeds; each pair of a document and an item with a common seed is aligned about its seeds (Smith-Waterman), window by window of WINDOW words so that no alignment grows
+    with its document, where words may be changed, added or dropped. Words in runs that at least SHARED_ITEMS items have (instructions) are not an item's own and do not count. All documents are
     searched whole; equal texts are searched once. Null and empty texts leak nothing; a repeated id counts as one
     document or item.
     """
@@ -113,16 +117,17 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
     ).select("item", F.col("words").alias("item_words"), "own")
     it, seeds = cut(it), cut(seeds)
 
-    d = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
-    one = d.groupBy("h", "text").agg(F.min("doc").alias("rep"))
-    one = cut(one.select("rep", "h", "text").mapInPandas(_streams, "rep long, h long, run int, words array<string>"))
+    d = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).filter(F.length("text") > 0).withColumn("h", F.md5("text"))
+    one = d.groupBy("h").agg(F.min("doc").alias("rep"), F.min("text").alias("text"))
+    one = cut(one.select("rep", "h", "text").mapInPandas(_streams, "rep long, h string, run int, words array<string>"))
     grams = _explode_grams(one.withColumn("part", F.struct("rep", "run")), "part", SEED)
-    hits = grams.join(small(seeds), "gram").groupBy(F.col("id.rep").alias("rep"), F.col("id.run").alias("run"), "item").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    window = F.floor(F.col("pos") / WINDOW)
+    hits = grams.join(small(seeds), "gram").groupBy(F.col("id.rep").alias("rep"), F.col("id.run").alias("run"), "item", window.alias("window")).agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
     pairs = hits.join(one.select("rep", "run", "words"), ["rep", "run"]).join(small(it), "item")
     n = F.size("item_words")
     begin = F.greatest(F.col("a") - n - MARGIN, F.lit(0))
-    window = pairs.select(F.col("rep").alias("doc"), "item", "item_words", "own", F.slice("words", begin + 1, F.col("b") + SEED + n + MARGIN - begin).alias("passage"))
-    found = window.repartition("doc", "item").mapInPandas(_aligned, "doc long, item long, score double, own_words long").filter(F.col("own_words") >= least)
+    about = pairs.select(F.col("rep").alias("doc"), "item", "item_words", "own", F.slice("words", begin + 1, F.col("b") + SEED + n + MARGIN - begin).alias("passage"), begin.alias("begin"))
+    found = about.repartition("doc", "item", "begin").mapInPandas(_aligned, "doc long, item long, score double, own_words long").filter(F.col("own_words") >= least)
     found = found.groupBy(F.col("doc").alias("rep"), "item").agg(F.max(F.struct("own_words", "score")).alias("best")).select("rep", "item", "best.own_words", "best.score")
     same = d.join(one.select("rep", "h").distinct(), "h")  # every document with the one that stands for its text
     return found.join(same.select("doc", "rep"), "rep").select("doc", "item", "own_words", F.round("score", 1).alias("score")).distinct()

@@ -7,7 +7,7 @@ import re
 
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 _OUTER = re.compile(r"\[(?:https?:)?//[^\s\]]*\s*([^\]]*)\]")
-_TAG = re.compile(r"<[^<>]{0,500}>")
+_TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile(r"'{2,}")
 _EDGE = re.compile(r"\{\{|\}\}|\{\||\|\}")
