@@ -121,6 +121,20 @@ def mix(docs: DataFrame, id_col: str, source: str, size: str, targets: DataFrame
     return easy.unionByName(last).filter(F.col("repeats") > 0)
 
 
+def tempered_targets(docs: DataFrame, source: str, size: str, targets: DataFrame) -> DataFrame:
+    """``targets`` with the listed sources' own shares of the size, tempered to the entropy of the target shares, in their place.
+
+    A source without records keeps no share. The sizes by source, one number each, are looked at on the driver.
+    """
+    t = {r["source"]: r for r in targets.filter(F.col("source").isNotNull() & (F.col("target_share") > 0)).collect()}
+    has = {r["s"]: r["n"] for r in docs.filter(F.col(source).isin(list(t))).groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n")).collect() if r["n"]}
+    total, want = sum(has.values()), sum(t[k]["target_share"] for k in has)
+    own = {k: v / total for k, v in has.items()}
+    own = temper(own, exponent_for_entropy(own, entropy({k: t[k]["target_share"] / want for k in has}))) if own else {}
+    rows = [(k, float(own.get(k, 0.0)), int(r["max_repeats"])) for k, r in t.items()]
+    return docs.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int")
+
+
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source the share aimed at and the one reached: ``source, target_share, share, tokens, records, most_repeats``."""
     got = mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("tokens"), F.count("*").alias("records"), F.max("repeats").alias("most_repeats"))

@@ -7,13 +7,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..util import cut
 from .text import sentences, tokens, wording
 
-#: Most labelled documents a model is fitted on; beyond it, those with the smallest hash of their id.
-TRAIN_DOCS = 5000
+#: Most labelled documents a model is fitted on, and most characters of them; beyond it, those with the smallest hash of their id.
+TRAIN_DOCS, TRAIN_CHARS = 5000, 60_000_000
+#: One in so many of them is held out to calibrate the margin of acceptance.
+HELD_OUT = 5
+#: Different runs of words of test items up to which they are sent to the scorers; beyond it, sentences are compared with them by a join.
+ITEM_RUNS = 2_000_000
 #: Occurrences in training that give a word a number of its own.
 VOCABULARY_MIN = 4
 #: Lead that a document's label has over other subjects in training, as a log probability.
@@ -130,8 +136,8 @@ def train(texts: list[str], labels: list[str], rounds: int = 4) -> SubjectModel:
 
     At first every sentence counts for its document's label and for the background. Then each sentence is given to the label, or to another subject
     as far as that explains it better by more than LABEL, and the models are fitted anew; the background always has all
-    sentences. Sentences about nothing in particular stay with the label, so that every model knows them and none gains by them. Finally the margin of acceptance is
-    calibrated on the labelled documents: the one of a few at which labels are met most and the fewest others are accepted.
+    sentences. Sentences about nothing in particular stay with the label, so that every model knows them and none gains by them. One document in HELD_OUT takes no part in
+    this: on these the margin of acceptance is calibrated, as the one at which labels are met most and the fewest others are accepted. A last fit has all documents.
     """
     subjects = sorted(set(labels))
     number = {s: k for k, s in enumerate(subjects)}
@@ -159,74 +165,115 @@ def train(texts: list[str], labels: list[str], rounds: int = 4) -> SubjectModel:
     share = np.zeros((len(sents), k + 1), np.float32)
     share[np.arange(len(sents)), label] = 1
     share[:, k] = 1
-    for _ in range(rounds):
-        m.fit(w, v, u, share, s)
-        g = m.gains(w, v, u, s, len(sents))
+    held = doc % HELD_OUT == HELD_OUT - 1 if doc[-1] >= 20 * HELD_OUT else np.zeros(len(sents), bool)
+    part = ~held[s]
+    for r in range(rounds):
+        m.fit(w[part], v[part], u[part], share, s[part])
+        gain = m.gains(w, v, u, s, len(sents)) if r == rounds - 1 else m.gains(w[part], v[part], u[part], s[part], len(sents))
+        g = gain.copy()
         g[np.arange(len(sents)), label] += LABEL
         g = np.exp(g - g.max(1, keepdims=True))
         share[:, :k] = g / g.sum(1, keepdims=True)
-    m.fit(w, v, u, share, s)
-    gain = m.gains(w, v, u, s, len(sents))
+    judged = held if held.any() else ~held
     best, top = gain.argmax(1), gain.max(1)
-    n = np.bincount(doc, minlength=len(texts))
+    n = np.bincount(doc[judged], minlength=len(texts))
+    told = np.array([number[x] for x in labels])
     scores = []
-    for margin in (0.5, 0.8, 1.1, 1.4):
+    for margin in np.arange(3, 21) / 10:
         hit = np.zeros((len(texts), k))
-        ok = top > margin
+        ok = judged & (top > margin)
         np.add.at(hit, (doc[ok], best[ok]), 1)
-        accepted = hit >= SHARE * np.maximum(n, 1)[:, None]
-        met = accepted[np.arange(len(texts)), [number[x] for x in labels]][n > 0].mean() if (n > 0).any() else 0
+        accepted = (hit >= SHARE * np.maximum(n, 1)[:, None]) & (hit > 0)
+        met = accepted[np.arange(len(texts)), told][n > 0].mean() if (n > 0).any() else 0
         scores.append((met - 0.1 * accepted.sum(1)[n > 0].mean(), -margin))
-    m.margin = -max(scores)[1]
+    m.margin = float(-max(scores)[1])
+    m.fit(w, v, u, share, s)
     return m
 
 
-def taken_over(sents: list[str], runs: set[tuple[str, ...]]) -> list[bool]:
-    """Whether a sentence is from a test item: runs of the items' words cover much of it."""
+def run_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of the runs of RUN words, in order."""
+    return np.array([xxhash.xxh3_64_intdigest(" ".join(words[k : k + RUN])) >> 1 for k in range(len(words) - RUN + 1)], np.int64)
+
+
+def _covered(at: np.ndarray) -> int:
+    """Words that runs beginning at the given places cover."""
+    return len(np.unique((at[:, None] + np.arange(RUN)[None]).ravel()))
+
+
+def taken_over(sents: list[str], runs: np.ndarray) -> list[bool]:
+    """Whether a sentence is from a test item: runs of the items' words, by their sorted hashes, cover much of it."""
     out = []
     for x in sents:
         w = wording(x)
-        covered = set()
-        for k in range(len(w) - RUN + 1):
-            if tuple(w[k : k + RUN]) in runs:
-                covered.update(range(k, k + RUN))
-        out.append(len(covered) >= RUN_SHARE * max(len(w), 1))
+        at = np.flatnonzero(_find(runs, run_hashes(w))[1])
+        out.append(bool(len(at)) and _covered(at) >= RUN_SHARE * len(w))
     return out
 
 
-def _runs(texts: list[str]) -> set[tuple[str, ...]]:
-    out: set[tuple[str, ...]] = set()
-    for t in texts:
-        w = wording(t)
-        out.update(tuple(w[k : k + RUN]) for k in range(len(w) - RUN + 1))
-    return out
+def _item_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for t in f["text"]:
+            yield pd.DataFrame({"run": np.unique(run_hashes(wording(t)))})
+
 
+def _sentence_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for i, h, t in zip(f["doc"], f["h"], f["text"]):
+            rows = [(k, len(w), run_hashes(w)) for k, w in enumerate(map(wording, sentences(t)))]
+            if rows:
+                size = [len(r) for _, _, r in rows]
+                at = np.concatenate([np.arange(z) for z in size])
+                yield pd.DataFrame({"doc": i, "h": h, "sent": np.repeat([k for k, _, _ in rows], size), "n": np.repeat([n for _, n, _ in rows], size), "at": at, "run": np.concatenate([r for _, _, r in rows])})
 
-def subject_shares(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, subject: str, items: list[str] = (), train_docs: int = TRAIN_DOCS) -> DataFrame:
+
+def _marked(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Documents with ``skip``, the numbers of their sentences that are from test items, told by a join with the items' runs."""
+    d = docs.withColumn("h", F.md5("text"))
+    hits = d.mapInPandas(_sentence_runs, "doc long, h string, sent long, n long, at long, run long").join(runs, "run")
+    words = F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda a: F.sequence(a, a + RUN - 1))))
+    sents = hits.groupBy("doc", "h", "sent", "n").agg(F.size(words).alias("covered")).filter(F.col("covered") >= RUN_SHARE * F.col("n"))
+    return d.join(sents.groupBy("doc", "h").agg(F.collect_set("sent").alias("skip")), ["doc", "h"], "left").select("doc", "text", "skip")
+
+
+def subject_shares(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, subject: str, items: DataFrame | None = None, item_text: str = "text", train_docs: int = TRAIN_DOCS, item_runs: int = ITEM_RUNS) -> DataFrame:
     """Share of each document's prose sentences that belong to each subject: ``doc, subject, share, n_sentences``.
 
-    The models are fitted on at most ``train_docs`` labelled documents, a bounded sample by the hash of their id, and sent to all
-    executors; every document is then scored whole. Sentences from ``items`` (a bounded list of texts) do not count. Null and
+    The models are fitted on at most ``train_docs`` labelled documents of TRAIN_CHARS characters in all, a bounded sample by the hash of their id, and sent to all
+    executors; every document is then scored whole. Sentences taken from ``items`` do not count: up to ``item_runs`` different runs of their words are sent along, more
+    are joined, with the same result. Null and
     empty texts, redirects and texts without prose give no rows; so does everything if there are no labels. Documents with several labels
     are trained on once per label; repeated ids give repeated rows.
     """
     spark = docs.sparkSession
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    runs, sent_along = None, np.zeros(0, np.int64)
+    if items is not None:
+        runs = cut(items.select(F.col(item_text).alias("text")).filter(F.length("text") > 0).mapInPandas(_item_runs, "run long").distinct())
+        if runs.limit(item_runs + 1).count() <= item_runs:
+            sent_along, runs = np.sort(runs.toPandas()["run"].to_numpy(np.int64)), None
+    if runs is not None:
+        texts = _marked(texts, runs)
+    else:
+        texts = texts.withColumn("skip", F.lit(None).cast("array<long>"))
     lab = labels.select(F.col(label_id).alias("doc"), F.col(subject).alias("subject")).filter(F.col("subject").isNotNull()).distinct()
     lab = lab.orderBy(F.xxhash64("doc"), "doc", "subject").limit(train_docs)
-    known = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(lab), "doc").filter(F.length("text") > 0).orderBy("doc", "subject").toPandas()
-    runs = _runs(list(items))
-    model = train([_own(t, runs) for t in known["text"]], known["subject"].tolist()) if len(known) else None
-    sent = spark.sparkContext.broadcast((model, runs))
+    sizes = texts.join(F.broadcast(lab), "doc").select("doc", "subject", F.length("text").alias("n")).orderBy(F.xxhash64("doc"), "doc", "subject").toPandas()
+    chosen = sizes[sizes["n"].cumsum() <= max(TRAIN_CHARS, sizes["n"].iloc[0] if len(sizes) else 0)][["doc", "subject"]].drop_duplicates()
+    model = None
+    if len(chosen):
+        few = spark.createDataFrame([(int(d), x) for d, x in zip(chosen["doc"], chosen["subject"])], "doc long, subject string")
+        known = texts.join(F.broadcast(few), "doc").orderBy("doc", "subject").toPandas()
+        model = train([_own(t, sent_along, k) for t, k in zip(known["text"], known["skip"])], known["subject"].tolist())
+    sent = spark.sparkContext.broadcast((model, sent_along))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, skip = sent.value
+        m, along = sent.value
         for f in (g.iloc[a : a + 500] for g in frames for a in range(0, len(g), 500)):
             ids, subs, shares, ns = [], [], [], []
             sents, spans = [], []
-            for i, t in zip(f["doc"], f["text"]):
-                x = sentences(t)
-                if skip and x:
-                    x = [a for a, b in zip(x, taken_over(x, skip)) if not b]
+            for i, t, k in zip(f["doc"], f["text"], f["skip"]):
+                x = _prose(t, along, k)
                 spans.append((i, len(sents), len(sents) + len(x)))
                 sents += x
             got = m.belong(sents) if m is not None else np.full(len(sents), -1)
@@ -239,10 +286,18 @@ def subject_shares(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, l
                     ns += [b - a] * len(k)
             yield pd.DataFrame({"doc": np.array(ids, "int64"), "subject": pd.Series(subs, dtype=object), "share": np.array(shares, "float64"), "n_sentences": np.array(ns, "int64")})
 
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter(F.length("text") > 0).mapInPandas(score, "doc long, subject string, share double, n_sentences long")
+    return texts.mapInPandas(score, "doc long, subject string, share double, n_sentences long")
 
 
-def _own(text: str, runs: set[tuple[str, ...]]) -> str:
-    """Prose of a text without sentences from test items, a sentence a line."""
+def _prose(text: str, runs: np.ndarray, skip: np.ndarray | None) -> list[str]:
+    """Prose sentences of a text that are not from test items."""
     x = sentences(text)
-    return "\n".join(a for a, b in zip(x, taken_over(x, runs)) if not b)
+    if skip is not None:
+        gone = set(skip)
+        return [a for k, a in enumerate(x) if k not in gone]
+    return [a for a, b in zip(x, taken_over(x, runs)) if not b] if len(runs) else x
+
+
+def _own(text: str, runs: np.ndarray, skip: np.ndarray | None) -> str:
+    """Prose of a text without sentences from test items, a sentence a line."""
+    return "\n".join(_prose(text, runs, skip))

@@ -10,8 +10,8 @@ pytest.importorskip("haatgrid.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from haatgrid.llm.leaks import align_many, leaked  # noqa: E402
-from haatgrid.llm.mixing import entropy, exponent_for_entropy, mix, mix_shares, plan_mix, temper, token_counter  # noqa: E402
-from haatgrid.llm.names import align, edits, link_names, name_cost, same_entity_pairs  # noqa: E402
+from haatgrid.llm.mixing import entropy, exponent_for_entropy, mix, mix_shares, plan_mix, temper, tempered_targets, token_counter  # noqa: E402
+from haatgrid.llm.names import _assignment, align, edits, index_keys, link_names, name_cost, same_entity_pairs  # noqa: E402
 from haatgrid.llm.quantiles import Sketch, merge_sketches, percentiles, rank_error, sketch_groups  # noqa: E402
 from haatgrid.llm.subjects import subject_shares  # noqa: E402
 from haatgrid.llm.text import plain, sentences, streams, wording  # noqa: E402
@@ -100,6 +100,34 @@ def test_edits_and_alignment():
     assert name_cost(["baruram", "au"], ["baruramau"]) < 0.5
 
 
+def test_assignment_of_many_tokens():
+    from itertools import permutations
+
+    rnd = random.Random(5)
+    for n in (1, 2, 4, 6):
+        m = [[rnd.choice((0.0, 0.5, 1.0, 2.5, 9.0)) for _ in range(n)] for _ in range(n)]
+        assert _assignment(m) == min(sum(m[i][p[i]] for i in range(n)) for p in permutations(range(n)))
+    words = [f"{a}{b}word" for a in "abcde" for b in "vwxyz"]
+    assert align(words, words[::-1]) == 0 and align(words, words[1:]) == 2.5 and align([], []) == 0
+
+
+def test_index_finds_what_the_assignment_accepts():
+    rnd, letters = random.Random(12), "abdeghiklmnoprstu"
+    tried = found = 0
+    for _ in range(3000):
+        place = "".join(rnd.choice(letters) for _ in range(rnd.randint(5, 14)))
+        other = list(place)
+        for _ in range(rnd.randint(1, 3)):
+            at = rnd.randrange(len(other))
+            other[at : at + 1] = rnd.choice(([], [rnd.choice(letters)], [other[at], rnd.choice(letters)]))
+        other = "".join(other)
+        if other and name_cost([place], [other]) <= 3.6:
+            tried += 1
+            found += bool(index_keys(place) & index_keys(other))
+    assert tried > 1000 and found >= 0.97 * tried
+    assert index_keys("sultanpur lodhi") & index_keys("s lodhi") and index_keys("ambaganj") & index_keys("amba")
+
+
 def test_link_names(spark):
     reg = spark.createDataFrame([("S", "D", x) for x in ("Ambaganj", "Ambiganj", "Navrang Central (Main Yard)", "Ashosar (Onion)", "Ashosar (Sub Yard)", "Kolanwadi Khurd")], "state string, district string, market string")
     names = [
@@ -121,6 +149,42 @@ def test_link_names(spark):
 # leaks
 
 
+def test_a_longer_piece_with_changes_counts():
+    item, own = np.arange(60), np.ones(60, np.int16)
+    changed = np.arange(30, 46)
+    changed[[5, 10]] = 900
+    text = np.r_[np.arange(1000, 1030), np.arange(0, 14), np.arange(2000, 2040), changed, np.arange(3000, 3020)]
+    score, span = align_many([item], [own], [text])
+    assert score[0] == 14 and span[0] == 16
+    gap = np.r_[np.arange(0, 14), [901, 902, 903, 904], [18], np.arange(4000, 4010)]
+    assert align_many([item], [own], [gap])[1][0] == 14
+
+
+def test_windows_find_all_of_a_long_text(spark):
+    rnd = random.Random(14)
+    fill = lambda n: [str(rnd.randrange(10**9)) for _ in range(n)]
+    items = [(i, " ".join(fill(80))) for i in range(6)]
+    bodies = [t.split() for _, t in items]
+    long = fill(505) + bodies[0][:30] + fill(2000) + bodies[1][:14] + fill(450) + bodies[1][20:60] + fill(5000) + bodies[0][50:62] + fill(490) + bodies[2][:16]
+    d = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(bodies[3] * 300)), (3, " ".join(fill(600) + bodies[4][:10] + fill(40) + bodies[4][10:20]))], "doc_id long, text string")
+    got = {(r["doc"], r["item"]) for r in leaked(d, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (2, 3)}
+
+
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.1, 0.98), (0.2, 0.8)])
+def test_recall_by_share_of_changed_words(spark, share, least):
+    rnd = random.Random(15)
+    fill = lambda n: [str(rnd.randrange(10**9)) for _ in range(n)]
+    items = [(i, fill(60)) for i in range(100)]
+    docs = []
+    for i, w in items:
+        piece = [rnd.choice(([], fill(1), [x, *fill(1)])) if rnd.random() < share else [x] for x in w[10:45]]
+        docs.append((i, " ".join([*fill(50), *(y for x in piece for y in x), *fill(50)])))
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc"], r["item"]) for r in leaked(d, "doc_id", "text", it, "item_id", "text").collect()}
+    assert len(got) >= least * 100 and all(a == b for a, b in got)
+
+
 def _brute(a, own, t):
     h = np.zeros((len(a) + 1, len(t) + 1))
     for i in range(1, len(a) + 1):
@@ -256,3 +320,26 @@ def test_subjects_of_made_documents(spark):
     assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 0.03 * len(truth)
     assert subject_shares(d, "doc_id", "text", l.limit(0), "doc_id", "subject").count() == 0
     assert subject_shares(d.limit(0), "doc_id", "text", l, "doc_id", "subject").count() == 0
+
+
+def test_sentences_of_items_do_not_count_however_many(spark):
+    rnd = random.Random(3)
+    docs, labels = [], []
+    for i in range(60):
+        s = ("law", "sport")[i % 2]
+        docs.append((i, "\n\n".join(f"The {s}{rnd.choice('abcdef')} and the {s}{rnd.choice('abcdef')} were described in {rnd.randint(1500, 1999)}." for _ in range(8))))
+        labels.append((i, s))
+    item = "The sporta and the sportb were won by nobody in particular. The sportc and the sportd had never been counted by anyone before."
+    docs += [(100, docs[0][1] + "\n\n" + "\n\n".join(["The sporta and the sportb were won by nobody in particular."] * 8)), (101, None)]
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    it = spark.createDataFrame([(1, item), (2, ""), (3, None)], "item_id long, text string")
+    runs = [{tuple(r) for r in subject_shares(d, "doc_id", "text", l, "doc_id", "subject", it, item_runs=n).collect()} for n in (1_000_000, 0)]
+    assert runs[0] == runs[1] and {(r[0], r[1]) for r in runs[0] if r[0] == 100} == {(100, "law")}
+    assert any(r[1] == "sport" for r in subject_shares(d, "doc_id", "text", l, "doc_id", "subject").filter("doc = 100").select("doc", "subject").collect())
+
+
+def test_tempered_targets(spark):
+    docs = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10), ("z", 50), (None, 5), ("a", None)], "source string, size long")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 9), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r["target_share"] for r in tempered_targets(docs, "source", "size", t).collect()}
+    assert entropy({k: v for k, v in got.items() if v}) == pytest.approx(entropy({"a": 0.5, "b": 0.3, "c": 0.2}), abs=1e-6) and got["a"] > got["b"] > got["c"] and got["gone"] == 0
