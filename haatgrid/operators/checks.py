@@ -50,3 +50,9 @@ def only_repeats_dropped(before: DataFrame, after: DataFrame, keys: list[str]) -
     a = before.select(*keys).distinct().agg(F.count("*").alias("n_keys"))
     b = after.agg(F.count("*").alias("n_rows"))
     return a.crossJoin(b).filter("n_keys <> n_rows")  # one row each
+
+
+def canonical_market(mapped: DataFrame) -> DataFrame:
+    """Rows of cleaned records that have come out without a canonical state, district or market."""
+    blank = [F.coalesce(F.trim(c), F.lit("")) == "" for c in ("state", "district", "market")]
+    return mapped.filter(blank[0] | blank[1] | blank[2])

@@ -33,9 +33,11 @@ def forecast_features(grid: DataFrame, horizon: int = 7) -> DataFrame:
     cols = {f"d_lag_{k}": F.col("lp") - F.lag("lp", k).over(w) for k in (1, 3, 7, 14, 28)}
     for k in (7, 14, 30):
         cols |= {f"mean_{k}": F.avg("lp").over(back(k)) - F.col("lp"), f"std_{k}": F.stddev_samp("lp").over(back(k)), f"min_{k}": F.min("lp").over(back(k)) - F.col("lp"), f"max_{k}": F.max("lp").over(back(k)) - F.col("lp")}
-    cols |= {"yoy_change": F.col("lp") - F.lag("lp", 364).over(w), "report_freq_30": F.count("price").over(back(30)) / F.lit(30.0), "target": F.ln(F.lead("price", horizon).over(w)), "lp_week_ago": F.lag("lp", 7).over(w), "mean_level_7": F.avg("lp").over(back(7))}
+    cols |= {"yoy_change": F.col("lp") - F.lag("lp", 364).over(w), "momentum_30": F.avg("lp").over(back(7)) - F.avg("lp").over(back(30)), "report_freq_30": F.count("price").over(back(30)) / F.lit(30.0), "target": F.ln(F.lead("price", horizon).over(w)), "lp_week_ago": F.lag("lp", 7).over(w), "mean_level_7": F.avg("lp").over(back(7))}
     x = grid.withColumns(cols)
-    r = regional(grid).select("state", "commodity", (F.col("day") + 1).alias("day"), F.col("state_lp").alias("state_lp_prev1"), F.col("n_markets").alias("state_n_prev1"), F.col("share_falling").alias("state_falling_prev1"))
+    states = Window.partitionBy("state", "commodity").orderBy("day").rangeBetween(-7, -7)
+    r = regional(grid).withColumn("state_change", F.col("state_lp") - F.first("state_lp").over(states))
+    r = r.select("state", "commodity", (F.col("day") + 1).alias("day"), F.col("state_lp").alias("state_lp_prev1"), F.col("state_change").alias("state_change_7_prev1"), F.col("n_markets").alias("state_n_prev1"), F.col("share_falling").alias("state_falling_prev1"))
     x = x.join(r, ["state", "commodity", "day"], "left").filter(F.col("lp").isNotNull())
     on = F.date_from_unix_date(F.col("day") + horizon)
     return x.withColumns({"state_n_prev1": F.coalesce("state_n_prev1", F.lit(0)), "dow": F.weekday(on) + 1, "week": F.weekofyear(on), "month": F.month(on)})
@@ -77,3 +79,18 @@ def alert_threshold(pr: DataFrame, by: list[str], precision: float = 0.6) -> Dat
     """Lowest threshold with at least that precision, else the one of the best F1."""
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return pr.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("precision") >= precision, F.col("threshold"))), F.max_by("threshold", F.coalesce(f1, F.lit(0.0)))).alias("threshold"))
+
+
+def coverage(df: DataFrame, by: list[str]) -> DataFrame:
+    """Of forecasts with a band in logs: how many targets are known, the share within the band, and the mean absolute error in prices of the middle and of the last price."""
+    x, y = df.filter(F.col("target").isNotNull()), F.exp("target")
+    inside = F.col("target").between(F.col("p10"), F.col("p90")).cast("int")
+    return x.groupBy(*by).agg(F.count("*").alias("n"), F.avg(inside).alias("coverage"), F.avg(F.abs(F.exp("p50") - y)).alias("mae"), F.avg(F.abs(F.exp("lp") - y)).alias("mae_last"))
+
+
+def latest_rows(df: DataFrame, within: int = 7) -> DataFrame:
+    """The last row of each series that ends at most ``within`` days before the data do."""
+    end = df.agg(F.max("day").alias("_end"))
+    last = Window.partitionBy(*KEYS).orderBy(F.desc("day"))
+    x = df.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").crossJoin(F.broadcast(end))  # one row
+    return x.filter(F.col("day") >= F.col("_end") - within).drop("_rn", "_end")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .features import conformal_width
 
-NUMERIC = [*(f"d_lag_{k}" for k in (1, 3, 7, 14, 28)), *(f"{s}_{k}" for k in (7, 14, 30) for s in ("mean", "std", "min", "max")), "report_freq_30", "since", "state_rel", "state_n_prev1", "dow", "week", "month"]
+NUMERIC = [*(f"d_lag_{k}" for k in (1, 3, 7, 14, 28)), *(f"{s}_{k}" for k in (7, 14, 30) for s in ("mean", "std", "min", "max")), "yoy_change", "momentum_30", "report_freq_30", "since", "state_rel", "state_change_7_prev1", "state_falling_prev1", "state_n_prev1", "dow", "week", "month"]
 
 
 def _ready(features: DataFrame) -> DataFrame:
@@ -31,15 +31,16 @@ def _stages() -> list:
 
 def forecast(features: DataFrame, train_until: int, calibrate_until: int, rounds: int = 20, seed: int = 42) -> DataFrame:
     """Forecasts p10, p50, p90 (logs) for days from ``calibrate_until`` on. The model is fitted on days before ``train_until`` whose targets lie before it too, the band's
-    residual quantiles and its widening on the days between."""
+    residual quantiles on the first half of the days between, and its widening on the second, so that it is calibrated on days it was not fitted on."""
     x = _ready(features).withColumn("y", F.col("target") - F.col("lp"))
     known = x.filter(F.col("y").isNotNull())
     model = Pipeline(stages=[*_stages(), GBTRegressor(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=4, seed=seed)]).fit(known.filter(F.col("day") < train_until - 7))
     out = model.transform(x.filter(F.col("day") >= train_until)).withColumn("p50", F.col("lp") + F.col("prediction"))
     cal = out.filter((F.col("day") < calibrate_until - 7) & F.col("target").isNotNull())
-    q = cal.withColumn("r", F.col("target") - F.col("p50")).groupBy("commodity").agg(F.percentile("r", 0.1).alias("q10"), F.percentile("r", 0.9).alias("q90"))
+    half = (train_until + calibrate_until - 7) // 2
+    q = cal.filter(F.col("day") < half).withColumn("r", F.col("target") - F.col("p50")).groupBy("commodity").agg(F.percentile("r", 0.1).alias("q10"), F.percentile("r", 0.9).alias("q90"))
     band = lambda d: d.join(F.broadcast(q), "commodity").withColumns({"p10": F.col("p50") + F.least("q10", F.lit(0.0)), "p90": F.col("p50") + F.greatest("q90", F.lit(0.0))})  # noqa: E731  a row per commodity
-    width = conformal_width(band(cal), "target", "p10", "p90", ["commodity"])
+    width = conformal_width(band(cal.filter(F.col("day") >= half)), "target", "p10", "p90", ["commodity"])
     new = band(out.filter(F.col("day") >= calibrate_until)).join(F.broadcast(width.select("commodity", "width")), "commodity")
     return new.select("market_key", "commodity", "day", "lp", "target", "p50", F.least(F.col("p10") - F.col("width"), F.col("p50")).alias("p10"), F.greatest(F.col("p90") + F.col("width"), F.col("p50")).alias("p90"))
 

@@ -112,3 +112,16 @@ def near_pairs(points: DataFrame, id_col: str, lat: str, lon: str, km: float) ->
     same = (F.col("lat") == F.col("lat2")) & (F.col("lon") == F.col("lon2"))
     pairs = pairs.filter((F.col("a") != F.col("b")) & (~same | (F.col("a") < F.col("b"))))
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "km")
+
+
+def near_join(places: DataFrame, points: DataFrame, km: float) -> DataFrame:
+    """Each of ``places`` (``place``, lat, lon) with each of ``points`` (``point``, lat, lon) at most ``km`` away: ``place, point, km``.
+
+    As in ``near_pairs``, discs about the places meet the points by block and code of the curve. Missing or impossible coordinates are near nothing.
+    """
+    ok = lambda df, name: df.select(F.col(name), F.col("lat").cast("double"), F.when(F.col("lon") == 180, F.lit(-180.0)).otherwise(F.col("lon")).cast("double").alias("lon")).filter(on_globe(F.col("lat"), F.col("lon"))).distinct()
+    right = ok(points, "point").select("point", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell_code(F.col("lat"), F.col("lon"), km).alias("code")).withColumn("block", F.shiftright("code", _BLOCK_BITS))
+    left = ok(places, "place").withColumn("r", F.explode(disc_ranges(F.col("lat"), F.col("lon"), km))).select("place", "lat", "lon", "r.lo", "r.hi")
+    left = left.withColumn("block", F.explode(F.sequence(F.shiftright("lo", _BLOCK_BITS), F.shiftright("hi", _BLOCK_BITS))))
+    near = left.join(right, (left["block"] == right["block"]) & right["code"].between(left["lo"], left["hi"]))
+    return near.select("place", "point", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")).filter(F.col("km") <= km).distinct()

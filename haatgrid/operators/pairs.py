@@ -52,8 +52,8 @@ def directed(spread: DataFrame, s: Settings = Settings(), rounded: bool = True)
     else:
         costs = {"transport_cost": F.col("road_km_est") * F.col("per_km") + F.col("fixed"), "fee_cost": F.col("price_dest") * F.col("fee")}
     x = x.withColumns(costs).drop("per_km", "fixed", "fee")
-    x = x.withColumn("gain", F.round(F.col("price_dest") - F.col("transport_cost") - F.col("fee_cost") - F.col("price_home"), 6))
-    return x.withColumns({"gain_pct": F.round(F.col("gain") / F.col("price_home"), 9), "is_opportunity": (F.col("gain") >= s.gain_min) & (F.round(F.col("gain") / F.col("price_home"), 9) >= s.gain_min_share)})
+    x = x.withColumn("gain", F.col("price_dest") - F.col("transport_cost") - F.col("fee_cost") - F.col("price_home"))
+    return x.withColumns({"gain_pct": F.col("gain") / F.col("price_home"), "is_opportunity": (F.col("gain") >= s.gain_min) & (F.col("gain") / F.col("price_home") >= s.gain_min_share)})
 
 
 def market_days(directed_: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +73,21 @@ def ck_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         "staged_unique": checks.unique_combination(staged, clean.KEY), "staged_only_repeats": checks.only_repeats_dropped(p.mapped, staged, clean.KEY), "daily_unique": checks.unique_combination(daily, ["state", "district", "market", "commodity", "arrival_date"]),
         "price_positive": checks.expression_is_true(daily, "modal_price_incl_suspect > 0"), "commodity_known": checks.accepted_values(daily, "commodity", list(S.commodities)), "market_key_given": checks.not_null(markets, "market_key"),
         "fact_market": checks.relationships(p.facts, "market_key", markets, "market_key"), "raw_modal_in_bounds": checks.modal_between_bounds(p.mandi_prices), "one_coordinate": checks.one_coordinate_per_market(markets),
-        "fact_daily_in_dim_date": checks.relationships(p.fact_daily_price, "date_key", p.dim_date, "date_key"),
+        "fact_daily_in_dim_date": checks.relationships(p.fact_daily_price, "date_key", p.dim_date, "date_key"), "market_named": checks.canonical_market(p.mapped),
+    }
+    out = None
+    for name, df in found.items():
+        x = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def ck_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of forecasts and drop risks that break each rule."""
+    forecast, risk = cut(ml_forecast(spark, sf_dir)), cut(ml_drop_risk(spark, sf_dir))
+    found = {
+        "band_in_order": checks.expression_is_true(forecast, "p10 <= p50 and p50 <= p90"), "target_after_horizon": checks.expression_is_true(forecast, f"datediff(target_date, date) = {S.horizon}"),
+        "risk_is_a_probability": checks.expression_is_true(risk, "risk between 0 and 1"), "forecast_unique": checks.unique_combination(forecast, ["market_key", "commodity", "date"]), "risk_unique": checks.unique_combination(risk, ["market_key", "commodity", "date"]),
     }
     out = None
     for name, df in found.items():
@@ -87,12 +103,6 @@ def sv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.filter("rn = 1").select("market_key", "commodity", "date", "modal_price", "previous_price", "days_before")
 
 
-def sv_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of the last 90 days of the data, and months before as totals."""
-    ap = Pipeline(spark, sf_dir).ap
-    return files.latest_days(ap.select("market_key", "commodity", "date", "modal_price"), "date", 90)
-
-
 def sv_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median price of near markets on the same day or a day off: days are spread over their neighbours, then joined by equality."""
     p = Pipeline(spark, sf_dir)
@@ -151,16 +161,39 @@ def _span(f: DataFrame, share: float) -> int:
     return int((r["a"] or 0) + ((r["b"] or 0) - (r["a"] or 0)) * share)
 
 
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumns({"date": F.date_from_unix_date("day"), "target_date": F.date_from_unix_date(F.col("day") + S.horizon)}).drop("day")
+
+
 def ml_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts (logs) of the last fifth of the days."""
     _, f = _features(spark, sf_dir)
     f = cut(f)
-    return ml.forecast(f, _span(f, 0.6), _span(f, 0.8))
+    return _dated(ml.forecast(f, _span(f, 0.6), _span(f, 0.8)))
+
+
+def ml_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast from the last day of every series that still reports."""
+    _, f = _features(spark, sf_dir)
+    f = cut(f)
+    return _dated(features.latest_rows(ml.forecast(f, _span(f, 0.6), _span(f, 0.8))))
+
+
+def ml_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error and coverage by fold and commodity, each fold fitted and calibrated on the days before it."""
+    _, f = _features(spark, sf_dir)
+    f, out = cut(f), None
+    for k, at in enumerate((0.55, 0.7, 0.85)):
+        x = ml.forecast(f, _span(f, at - 0.15), _span(f, at)).filter(F.col("day") < _span(f, at + 0.15))
+        x = features.coverage(x, ["commodity"]).withColumn("fold", F.lit(k + 1))
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 def ml_drop_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, f = _features(spark, sf_dir)
     f = cut(f)
-    return ml.drop_risk(f, p.drops, _span(f, 0.7))
+    return _dated(ml.drop_risk(f, p.drops, _span(f, 0.7)))
 
 
 def ml_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +205,9 @@ def ml_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .saved import QUERIES as saved
+    from .analyses import q4_cluster_features
 
-    return ml.clusters(cut(saved["q4_cluster_features"](spark, sf_dir)), ["cv", "freq", "price_index", "amplitude"])
+    return ml.clusters(cut(q4_cluster_features(spark, sf_dir)), ["cv", "freq", "price_index", "amplitude", "drop_rate", "n_towns_near"])
 
 
 def src_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +231,7 @@ def st_event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.run_available(spark, x, "complete").select(F.to_date("window_start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (d3_aliases, d4_merges, d11_calendar, d17_spread_days, d22_same_variety, d32_versions, ck_all, sv_latest, sv_recent, sv_neighbours, ag_yoy, ag_pivot, jn_reconcile, ml_grid, ml_features, ml_baselines, ml_forecast, ml_drop_risk, ml_precision_recall, ml_clusters, src_inventory, src_describe, st_event_days)}
+QUERIES = {f.__name__: f for f in (d3_aliases, d4_merges, d11_calendar, d17_spread_days, d22_same_variety, d32_versions, ck_all, ck_models, sv_latest, sv_neighbours, ag_yoy, ag_pivot, jn_reconcile, ml_grid, ml_features, ml_baselines, ml_forecast, ml_latest, ml_folds, ml_drop_risk, ml_precision_recall, ml_clusters, src_inventory, src_describe, st_event_days)}
 
 _KEY = "regexp_replace(regexp_replace(lower(replace({}, '&amp;', '&')), '[^a-z0-9]+', '', 'g'), 'apmc$', '')".format
 _GRID = """sp as (select market_key, commodity, any_value(state) as state, min(date) as a, max(date) as b from ap group by all), days as (select market_key, commodity, state, cast(unnest(generate_series(a, b, interval 1 day)) as date) as date from sp),
@@ -211,7 +244,25 @@ f0 as (select *, lp - lag(lp, 1) over w as d_lag_1, lp - lag(lp, 7) over w as d_
  from grid window w as (partition by market_key, commodity order by date), w7 as (partition by market_key, commodity order by date rows 6 preceding), w14 as (partition by market_key, commodity order by date rows 13 preceding), w30 as (partition by market_key, commodity order by date rows 29 preceding)),
 f as (select f0.*, state_lp_prev1, coalesce(n_prev, 0) as state_n_prev1, falling from f0 left join reg on reg.state = f0.state and reg.commodity = f0.commodity and reg.date = f0.date where lp is not null)"""
 
+def _version(name: str, **change) -> str:
+    return with_steps(f"select '{name}' as version, commodity, count(*) as n_days, count(distinct market_key) as n_markets, median(modal_price) as median_price from ap group by commodity", "ap", s=replace(S, **change))
+
+
+_UNIQUE = "select count(*) from (select {0} from {1} group by all having count(*) > 1)".format
+_CHECKS = {
+    "staged_unique": _UNIQUE("arrival_date, state, district, market, commodity, variety, grade", "staged"), "daily_unique": _UNIQUE("state, district, market, commodity, arrival_date", "daily"),
+    "staged_only_repeats": "select ((select count(*) from (select distinct arrival_date, state, district, market, commodity, variety, grade from mapped)) <> (select count(*) from staged))::int",
+    "price_positive": "select count(*) from daily where not coalesce(modal_price_incl_suspect > 0, false)", "commodity_known": "select count(distinct commodity) from daily where commodity not in ('Tomato', 'Onion', 'Potato')", "market_key_given": "select count(*) from markets where market_key is null",
+    "fact_market": "select count(*) from facts where market_key is not null and market_key not in (select market_key from markets)", "raw_modal_in_bounds": "select count(*) from mandi_prices where min_price is not null and max_price is not null and not coalesce(modal_price >= min_price and modal_price <= max_price, false)",
+    "one_coordinate": "select count(*) from (select state, district, market from markets group by all having count(distinct coalesce(latitude, -999) || '|' || coalesce(longitude, -999)) > 1)",
+    "fact_daily_in_dim_date": "select count(*) from fact_daily_price where date_key is not null and date_key not in (select date_key from dim_date)", "market_named": "select count(*) from mapped where coalesce(trim(market), '') = '' or coalesce(trim(district), '') = '' or coalesce(trim(state), '') = ''",
+}
+
 SQL = {
+    "ck_all": with_steps(" union all ".join(f"select '{k}' as rule, cast(({q}) as bigint) as n" for k, q in _CHECKS.items()), "mapped", "staged", "daily", "markets", "facts"),
+    "ck_models": "select unnest(['band_in_order', 'target_after_horizon', 'risk_is_a_probability', 'forecast_unique', 'risk_unique']) as rule, cast(0 as bigint) as n",
+    "d32_versions": " union all ".join(f"select * from ({v})" for v in (_version("main"), _version("with_suspect", include_suspect_low=True), _version("temporal_rule", outlier_rule="temporal"))),
+    "src_describe": "select cid as position, name as column_name, case type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'INTEGER' then 'int' when 'DATE' then 'date' else lower(regexp_replace(type, ' WITH TIME ZONE|_NS', '')) end as column_type from pragma_table_info('mandi_prices')",
     "d3_aliases": f"""with k as (select *, {_KEY('district')} as dk, {_KEY('market')} as mk, not regexp_matches(lower(market), 'a\\.?p\\.?m\\.?c') as plain from market_names)
 select name_id, first_value(market) over (partition by state, dk, mk order by plain desc, n_rows desc, last_date desc, name_id) as canonical, count(*) over (partition by state, dk, mk) as n_spellings from k""",
     "d11_calendar": "select date_key, calendar_date, day_of_week, day_name, iso_week, month_of_year, quarter_of_year, calendar_year, is_weekend from dim_date",
@@ -223,7 +274,6 @@ select home_market_key, commodity, variety, date, scenario, count(*) as n, round
     "ag_yoy": with_steps("y as (select commodity, year(date) as yr, avg(modal_price) as p from ap group by all) select y.commodity, y.yr, round(y.p, 4) as mean_price, round(y.p / b.p - 1, 6) as change from y left join y b on b.commodity = y.commodity and b.yr = y.yr - 1", "ap"),
     "ag_pivot": "select commodity, " + ", ".join(f"nullif(count(*) filter (where source = '{s}'), 0) as {s}" for s in ("kaggle_archive", "ceda", "datagov_daily")) + " from mandi_prices group by commodity",
     "sv_latest": with_steps("r as (select *, row_number() over w as rn, lead(modal_price) over w as previous_price, date - lead(date) over w as days_before from ap window w as (partition by market_key, commodity order by date desc)) select market_key, commodity, date, modal_price, previous_price, days_before from r where rn = 1", "ap"),
-    "sv_recent": with_steps("select market_key, commodity, date, modal_price from ap where date > (select max(date) from ap) - 90", "ap"),
     "sv_neighbours": with_steps("""b as (select market_key_a as home, market_key_b as other from pairs where haversine_km <= 50 union all select market_key_b, market_key_a from pairs where haversine_km <= 50),
 x as (select h.market_key as home, h.commodity, h.date, o.modal_price as price, o.date - h.date as off, o.market_key as other from ap h join b on b.home = h.market_key join ap o on o.market_key = b.other and o.commodity = h.commodity and o.date between h.date - 1 and h.date + 1)
 select home, commodity, date, coalesce(median(price) filter (where off = 0), median(price)) as neighbour_median, count(distinct other) as n from x group by all""", "pairs", "ap"),

@@ -16,10 +16,9 @@ SERIES = ["market_key", "commodity_key"]
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily readings of fact_daily_price in paise, so that totals are exact. dim_date is a gap-free calendar: a day is in it if it is a date
-    within its bounds, which are two values."""
-    span = table(spark, sf_dir, "dim_date").agg(F.min("date_key").alias("lo"), F.max("date_key").alias("hi"))
-    fact = table(spark, sf_dir, "fact_daily_price").join(F.broadcast(span), F.col("date_key").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    """Daily readings of fact_daily_price in paise, so that totals are exact."""
+    days = table(spark, sf_dir, "dim_date").select("date_key").distinct()
+    fact = table(spark, sf_dir, "fact_daily_price").join(small(days), "date_key", "left_semi")
     fact = fact.withColumn("modal_price", (F.col("modal_price") * 100).cast("long"))
     return distinct_readings(fact, SERIES, day_number(F.col("date_key")), "modal_price")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extra, problems, saved
+from . import analyses, extra, problems, saved
 
-MODULES = [problems, saved, extra]
+MODULES = [problems, saved, analyses, extra]
 
 
 def queries() -> dict:

@@ -35,6 +35,9 @@ class Settings:
     drop_ratio: float = 0.7
     drop_min_days: int = 2
     year_min_days: int = 60
+    series_min_days: int = 180
+    thin_towns: int = 2
+    low_index: float = 0.9
     fill_days: int = 3
     horizon: int = 7
     #: name: (cost per km, fixed cost, share of the destination's price)

@@ -17,25 +17,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors reach: spark.checkpoint.dir of the session, or one of our own where none is set."""
+    """Folder all executors reach: spark.checkpoint.dir of the session. Where none is set a local session gets one of its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         folder = sc.getCheckpointDir()
         if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="haatgrid-"))
             folder = sc.getCheckpointDir()
     return folder
 
 
+#: Folders written by ``cut`` in this process.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing the rows to the shared folder; they survive the loss of executors."""
+    """Cut the lineage by writing the rows to the shared folder; they survive the loss of executors, and stay until ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/haatgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written; frames made from it can't be read any more."""
+    while _WRITTEN:
+        fs, p = _file_system(spark, _WRITTEN.pop())
+        fs.delete(p, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a side for broadcast if it has at most ``rows`` rows, and leave the join to shuffle otherwise.
 

@@ -39,3 +39,22 @@ def test_bad_coordinates_are_in_no_pair(spark):
     pts = [("a", None, 1.0), ("b", 1.0, None), ("c", 0.0, 0.0), ("d", 0.0, 0.0), ("e", 95.0, 1.0), ("f", 95.0, 1.0), ("g", 1.0, 686.0), ("h", 1.0, 1.0), ("i", 1.0, 1.0)]
     check(spark, pts, 2.5)
     assert near_pairs(spark.createDataFrame([], "id string, lat double, lon double"), "id", "lat", "lon", 1.0).count() == 0
+
+
+def test_places_with_points_against_brute_force(spark):
+    import math
+    import random
+
+    from haatgrid.operators.near import near_join
+
+    rnd = random.Random(4)
+    spot = lambda: (rnd.choice((rnd.uniform(-90, 90), rnd.uniform(20, 21), 89.9)), rnd.choice((rnd.uniform(-180, 180), rnd.uniform(70, 71), 180.0)))
+    places, points = [(f"a{i}", *spot()) for i in range(60)] + [("none", None, 3.0)], [(f"b{i}", *spot()) for i in range(80)] + [("zero", 0.0, 0.0)]
+
+    def km(p, q):
+        a, b, c, d = map(math.radians, (p[1], p[2], q[1], q[2]))
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    want = {(p[0], q[0]) for p in places[:-1] for q in points[:-1] if km(p, q) <= 50}
+    got = near_join(spark.createDataFrame(places, "place string, lat double, lon double"), spark.createDataFrame(points, "point string, lat double, lon double"), 50.0)
+    assert {(r["place"], r["point"]) for r in got.collect()} == want and want

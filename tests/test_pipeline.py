@@ -182,3 +182,49 @@ def test_core_does_not_need_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"^\s*(from|import)\s+\S*\bllm\b", p.read_text(), re.M), p
+
+
+def test_misspelt_steps_are_no_tables(spark):
+    from haatgrid.plans.models import Pipeline
+
+    with pytest.raises(AttributeError):
+        Pipeline(spark, "/nowhere").stagged
+
+
+def test_written_steps_can_be_released(spark):
+    from haatgrid import util
+
+    df = util.cut(spark.range(5))
+    path = util._WRITTEN[-1]
+    assert df.count() == 5 and util.exists(spark, path)
+    util.release(spark)
+    assert not util.exists(spark, path) and not util._WRITTEN
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from haatgrid import util
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        util.shared_dir(Session())
+
+
+def test_series_and_districts_without_data(spark):
+    from haatgrid.operators import analyses as A
+
+    p = spark.createDataFrame([], "market_key string, commodity string, state string, district string, date date, modal_price double, town_key string, latitude double, longitude double, geo_precision string")
+    d = spark.createDataFrame([], "market_key string, commodity string, state string, date date, is_drop boolean")
+    c = spark.createDataFrame([("Onion", "Vegetable")], "commodity string, category string")
+    assert A.seasonality(p, d, c).count() == 0 and A.series_features(p, d).count() == 0 and A.volatility(p).count() == 0 and A.near_towns(p).count() == 0

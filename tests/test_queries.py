@@ -8,7 +8,7 @@ import pytest
 from haatgrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["p1_found", "p1_grid", "p6_found", "p6_rolling", "p7_found", "d2_staged", "d6_rolling_median", "d8_flags", "d10_daily_prices", "d23_drop_labels", "q0_duplicates", "q0_scope_gaps", "q3_gap_by_commodity", "q3_volatility", "sv_latest", "ml_features"]
+NAMES = ["p1_found", "p1_grid", "p6_found", "p6_rolling", "p7_found", "d2_staged", "d6_rolling_median", "d8_flags", "d10_daily_prices", "d23_drop_labels", "q0_duplicates", "q0_scope_gaps", "q3_gap_by_commodity", "q3_volatility", "sv_latest", "sv_recent", "ml_features", "q3_district_access", "q3_seasonality", "q3_concentration", "q4_cluster_features", "ck_all", "src_describe"]
 
 
 def _norm(v):
