@@ -14,12 +14,13 @@ def market_key() -> Column:
     return F.md5(F.concat("state", F.lit("|"), "district", F.lit("|"), "market"))
 
 
-def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """One row per day from ``first`` to ``last``."""
+def calendar(spark: SparkSession, first: str, last: str, main_end: str | None = None) -> DataFrame:
+    """One row per day from ``first`` to ``last``; the period is main up to ``main_end``, or throughout."""
     d = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("calendar_date"))
     return d.select(
         F.date_format("calendar_date", "yyyyMMdd").cast("int").alias("date_key"), "calendar_date", (F.weekday("calendar_date") + 1).alias("day_of_week"), F.date_format("calendar_date", "EEEE").alias("day_name"),
-        F.weekofyear("calendar_date").alias("iso_week"), F.month("calendar_date").alias("month_of_year"), F.quarter("calendar_date").alias("quarter_of_year"), F.year("calendar_date").alias("calendar_year"), (F.weekday("calendar_date") >= 5).alias("is_weekend"),
+        F.weekofyear("calendar_date").alias("iso_week"), F.month("calendar_date").alias("month_of_year"), F.date_format("calendar_date", "MMMM").alias("month_name"), F.quarter("calendar_date").alias("quarter_of_year"), F.year("calendar_date").alias("calendar_year"), (F.weekday("calendar_date") >= 5).alias("is_weekend"),
+        F.when(F.col("calendar_date") > F.lit(main_end).cast("date"), "post_format_change").otherwise("main").alias("period"),
     )
 
 

@@ -37,7 +37,7 @@ def d4_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d11_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.calendar(spark, "2018-01-01", "2026-09-30")
+    return star.calendar(spark, "2018-01-01", "2026-09-30", S.main_end)
 
 
 def d17_spread_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +47,14 @@ def d17_spread_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d22_same_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed comparisons within one variety, with costs that are not rounded."""
+    """Market-days by comparisons within one variety, with costs that are not rounded: how many, how many of them opportunities, and the best gain."""
     from ..operators.pairs import directed, spreads
 
     p = Pipeline(spark, sf_dir)
     x = directed(spreads(p.vprices, p.pairs, p.s, by=("commodity", "variety", "date")), p.s, rounded=False)
-    return x.groupBy("home_market_key", "commodity", "variety", "date", "scenario").agg(F.count("*").alias("n"), F.round(F.max("gain"), 4).alias("best_gain"))
+    return x.groupBy("home_market_key", "commodity", "date", "scenario").agg(
+        F.count("*").alias("n_comparisons"), F.count_if("is_opportunity").alias("n_opportunities"), F.bool_or("is_opportunity").alias("has_opportunity"), F.countDistinct("variety").alias("n_varieties"), F.round(F.max("gain"), 4).alias("best_gain")
+    )
 
 
 def d32_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,12 +267,13 @@ SQL = {
     "src_describe": "select cid as position, name as column_name, case type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'INTEGER' then 'int' when 'DATE' then 'date' else lower(regexp_replace(type, ' WITH TIME ZONE|_NS', '')) end as column_type from pragma_table_info('mandi_prices')",
     "d3_aliases": f"""with k as (select *, {_KEY('district')} as dk, {_KEY('market')} as mk, not regexp_matches(lower(market), 'a\\.?p\\.?m\\.?c') as plain from market_names)
 select name_id, first_value(market) over (partition by state, dk, mk order by plain desc, n_rows desc, last_date desc, name_id) as canonical, count(*) over (partition by state, dk, mk) as n_spellings from k""",
-    "d11_calendar": "select date_key, calendar_date, day_of_week, day_name, iso_week, month_of_year, quarter_of_year, calendar_year, is_weekend from dim_date",
+    "d11_calendar": "select date_key, calendar_date, day_of_week, day_name, iso_week, month_of_year, monthname(calendar_date) as month_name, quarter_of_year, calendar_year, is_weekend, period from dim_date",
     "d17_spread_days": with_steps("""sides as (select date, commodity, state_a as state, abs_gap, pct_gap from spread union all select date, commodity, state_b, abs_gap, pct_gap from spread where not is_same_state)
 select date, commodity, state, count(*) as n_pairs, round(median(abs_gap), 4) as median_abs_gap, round(quantile_cont(abs_gap, 0.9), 4) as p90_abs_gap, round(median(pct_gap), 6) as median_pct_gap, round(quantile_cont(pct_gap, 0.9), 6) as p90_pct_gap from sides group by all""", "spread"),
     "d22_same_variety": with_steps("""s as (select road_km_est, a.commodity, a.variety, a.date, market_key_a, market_key_b, a.modal_price as pa, b.modal_price as pb from pairs join vprices a on a.market_key = market_key_a join vprices b on b.market_key = market_key_b and b.commodity = a.commodity and b.variety = a.variety and b.date = a.date where road_km_est <= 100),
-w as (select commodity, variety, date, road_km_est, market_key_a as home_market_key, pa as ph, pb as pd from s union all select commodity, variety, date, road_km_est, market_key_b, pb, pa from s)
-select home_market_key, commodity, variety, date, scenario, count(*) as n, round(max(pd - (road_km_est * per_km + fixed) - pd * fee - ph), 4) as best_gain from w cross join scen group by all""", "pairs", "vprices", "scen"),
+w as (select commodity, variety, date, road_km_est, market_key_a as home_market_key, pa as ph, pb as pd from s union all select commodity, variety, date, road_km_est, market_key_b, pb, pa from s),
+c as (select *, pd - (road_km_est * per_km + fixed) - pd * fee - ph as gain from w cross join scen)
+select home_market_key, commodity, date, scenario, count(*) as n_comparisons, count(*) filter (where gain >= 100 and gain / ph >= 0.05) as n_opportunities, bool_or(gain >= 100 and gain / ph >= 0.05) as has_opportunity, count(distinct variety) as n_varieties, round(max(gain), 4) as best_gain from c group by all""", "pairs", "vprices", "scen"),
     "ag_yoy": with_steps("y as (select commodity, year(date) as yr, avg(modal_price) as p from ap group by all) select y.commodity, y.yr, round(y.p, 4) as mean_price, round(y.p / b.p - 1, 6) as change from y left join y b on b.commodity = y.commodity and b.yr = y.yr - 1", "ap"),
     "ag_pivot": "select commodity, " + ", ".join(f"nullif(count(*) filter (where source = '{s}'), 0) as {s}" for s in ("kaggle_archive", "ceda", "datagov_daily")) + " from mandi_prices group by commodity",
     "sv_latest": with_steps("r as (select *, row_number() over w as rn, lead(modal_price) over w as previous_price, date - lead(date) over w as days_before from ap window w as (partition by market_key, commodity order by date desc)) select market_key, commodity, date, modal_price, previous_price, days_before from r where rn = 1", "ap"),

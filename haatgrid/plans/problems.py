@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grid import distinct_readings, grid_series, rolling_totals
 from ..operators.aliases import resolve_markets
-from ..operators.near import near_pairs
+from ..operators.near import near_pairs, on_globe
 from ..operators.spikes import implausible
 from ..operators.units import anchors, narrow, other_units
 from ..util import cut, day_number, key_of_day, small, table
@@ -53,6 +53,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_near(spark, sf_dir).select("market_key_a", "market_key_b").distinct()
 
 
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets with the class of those on one spot (the smallest key) and how many others lie at most 2.5 km away."""
+    m = table(spark, sf_dir, "dim_market").select("market_key", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")).filter(on_globe(F.col("lat"), F.col("lon"))).distinct()
+    near = near_pairs(m, "market_key", "lat", "lon", 2.5)
+    links = near.select(F.explode(F.array("id_a", "id_b")).alias("market_key")).groupBy("market_key").agg(F.count("*").alias("n_links"))
+    spots = m.groupBy("lat", "lon").agg(F.min("market_key").alias("spot"))
+    return m.join(spots, ["lat", "lon"]).join(links, "market_key", "left").select("market_key", "spot", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of mandi_prices ready for units and spikes. The register names every spelling that occurs."""
     prices = table(spark, sf_dir, "mandi_prices")
@@ -76,7 +85,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_units(spark, sf_dir).select("raw_id", "unit").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_flags": p3_flags, "p5_found": p5_found, "p5_units": p5_units, "p1_found": p1_found, "p1_grid": p1_grid, "p6_found": p6_found, "p6_rolling": p6_rolling, "p7_found": p7_found, "p7_near": p7_near}
+QUERIES = {"p3_found": p3_found, "p3_flags": p3_flags, "p5_found": p5_found, "p5_units": p5_units, "p1_found": p1_found, "p1_grid": p1_grid, "p6_found": p6_found, "p6_rolling": p6_rolling, "p7_found": p7_found, "p7_near": p7_near, "p7_classes": p7_classes}
 
 _READINGS = """r0 as (select distinct f.*, d.calendar_date as day from fact_daily_price f join dim_date d using (date_key) where modal_price is not null),
 r as (select market_key, commodity_key, day, cast(sum(cast(modal_price * 100 as bigint)) as bigint) as total, count(*) as n from r0 group by all)"""
@@ -111,5 +120,7 @@ k as (select *, sum(t) over a as t7, sum(t) over b as t30 from j
   window a as (partition by market_key, commodity_key order by day rows between 6 preceding and current row), b as (partition by market_key, commodity_key order by day rows between 29 preceding and current row))
 select market_key, commodity_key, {_KEY.format("day")} as date_key from k where t7 * 10 < t30""",
     "p7_near": f"{_NEAR} select market_key_a, market_key_b, round(km, 4) as km from q where km <= 2.5",
+    "p7_classes": f"""{_NEAR}, l as (select market_key, count(*) as n from (select unnest([market_key_a, market_key_b]) as market_key from q where km <= 2.5) group by market_key)
+select market_key, min(market_key) over (partition by lat, lon) as spot, coalesce(n, 0) as n_links from p left join l using (market_key)""",
     "p7_found": f"{_NEAR} select distinct market_key_a, market_key_b from q where km <= 2.5",
 }

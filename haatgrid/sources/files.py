@@ -13,11 +13,14 @@ from pyspark.sql import types as T
 
 
 def scan_parquet(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    """Parquet files of one shape whose types may differ from file to file (an integer price here, a double there): each file is read with its own schema,
-    cast to ``schema`` by name and joined; missing columns are null. ``source_file`` has each row's file name."""
-    out = None
+    """Parquet files of one shape whose types may differ from file to file (an integer price here, a double there): files of one schema are read together,
+    cast to ``schema`` by name, and the few kinds joined; missing columns are null. ``source_file`` has each row's file name."""
+    kinds: dict[str, list[str]] = {}
     for p in paths:
-        df = spark.read.parquet(p)
+        kinds.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
+    out = None
+    for same in kinds.values():
+        df = spark.read.parquet(*same)
         cols = [(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
         df = df.select(*cols, F.col("_metadata.file_name").alias("source_file"))
         out = df if out is None else out.unionByName(df)
