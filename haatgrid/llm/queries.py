@@ -76,14 +76,20 @@ def p2_ranks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(spark, sf_dir, p2_all(spark, sf_dir), _SERIES)
 
 
-def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "mandi_prices").filter(F.col("variety").isNotNull() & F.col("grade").isNotNull() & F.col("modal_price").isNotNull())
     reports = told.select("state", "district", "market", F.struct("commodity", "variety", "grade").alias("series"), F.col("arrival_date").alias("day"))
     return link_names(table(spark, sf_dir, "market_names"), table(spark, sf_dir, "dim_market"), reports)
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name with the market it is taken for, as the class, and the number of other names of that market."""
+    x = _linked(spark, sf_dir)
+    return x.join(x.groupBy("entity").agg((F.count("*") - 1).alias("n_links")), "entity")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return same_entity_pairs(p4_links(spark, sf_dir)).select(F.col("id_a").alias("name_id_a"), F.col("id_b").alias("name_id_b")).distinct()
+    return same_entity_pairs(_linked(spark, sf_dir)).select(F.col("id_a").alias("name_id_a"), F.col("id_b").alias("name_id_b")).distinct()
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
