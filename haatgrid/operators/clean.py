@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
+from ..util import cut, small
 
 KEY = ["arrival_date", "state", "district", "market", "commodity", "variety", "grade"]
 
@@ -33,10 +34,10 @@ def scope(raw: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def mapped(scoped: DataFrame, markets: DataFrame) -> DataFrame:
     """Cleaned records with canonical names. ``markets`` has the canonical state, district and market; a spelling with the same
-    match keys is replaced by it, others are only squeezed. Null variety and grade count as empty."""
+    match keys is replaced by it, others are only squeezed. Null variety and grade count as empty. Remarks are left out."""
     known = markets.select(F.col("state").alias("k_state"), match_key(F.col("district")).alias("k_district"), match_key(F.col("market")).alias("k_market"), "district", "market")
-    known = known.groupBy("k_state", "k_district", "k_market").agg(F.min(F.struct("market", "district")).alias("canon"))
-    c = scoped.withColumns({"market_raw": F.col("market"), "district_raw": F.col("district"), "state": squeeze(F.col("state")), "commodity": squeeze(F.col("commodity")), **{x: squeeze(F.coalesce(x, F.lit(""))) for x in ("variety", "grade")}})
+    known = small(cut(known.groupBy("k_state", "k_district", "k_market").agg(F.min(F.struct("market", "district")).alias("canon"))))
+    c = scoped.drop("remarks").withColumns({"market_raw": F.col("market"), "district_raw": F.col("district"), "state": squeeze(F.col("state")), "commodity": squeeze(F.col("commodity")), **{x: squeeze(F.coalesce(x, F.lit(""))) for x in ("variety", "grade")}})
     on = (c["state"] == known["k_state"]) & (match_key(c["district"]) == known["k_district"]) & (match_key(c["market"]) == known["k_market"])
     c = c.join(known, on, "left").withColumns({"district": F.coalesce("canon.district", squeeze(F.col("district"))), "market": F.coalesce("canon.market", squeeze(F.col("market")))}).drop("canon", "k_state", "k_district", "k_market")
     return c

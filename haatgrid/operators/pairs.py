@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Settings
-from .near import near_pairs
+from .near import EARTH_KM, haversine_km, near_pairs, on_globe
 
 
 def market_pairs(markets: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -15,10 +17,24 @@ def market_pairs(markets: DataFrame, s: Settings = Settings()) -> DataFrame:
     near = near_pairs(m, "market_key", "latitude", "longitude", s.max_pair_km)
     side = lambda t: m.select(*(F.col(c).alias(f"{c}_{t}") for c in ("market_key", "state", "district", "geo_precision", "town_key")))
     p = near.join(side("a"), F.col("id_a") == F.col("market_key_a")).join(side("b"), F.col("id_b") == F.col("market_key_b"))
-    centroid = [F.col(f"geo_precision_{t}") == "district_centroid" for t in "ab"]
-    p = p.filter((F.col("town_key_a") != F.col("town_key_b")) & ~(centroid[0] & centroid[1] & (F.col("state_a") == F.col("state_b")) & (F.col("district_a") == F.col("district_b"))))
-    precision = F.when(centroid[0] & centroid[1], "both_centroid").when(centroid[0] | centroid[1], "one_centroid").otherwise("both_market")
-    return p.select(F.md5(F.concat("market_key_a", F.lit("|"), "market_key_b")).alias("pair_key"), "market_key_a", "market_key_b", "state_a", "state_b", F.round("km", 2).alias("haversine_km"), F.round(F.col("km") * s.road_factor, 2).alias("road_km_est"), precision.alias("pair_precision"), (F.col("state_a") == F.col("state_b")).alias("is_same_state"))
+    return p.filter(_apart()).select(*_pair(F.col("km"), s))
+
+
+def _centroids() -> list[Column]:
+    return [F.col(f"geo_precision_{t}") == "district_centroid" for t in "ab"]
+
+
+def _apart() -> Column:
+    """Different towns, and not both the centroid of one district."""
+    a, b = _centroids()
+    return (F.col("town_key_a") != F.col("town_key_b")) & ~(a & b & (F.col("state_a") == F.col("state_b")) & (F.col("district_a") == F.col("district_b")))
+
+
+def _pair(km: Column, s: Settings) -> list[Column]:
+    """Columns of a pair."""
+    a, b = _centroids()
+    precision = F.when(a & b, "both_centroid").when(a | b, "one_centroid").otherwise("both_market")
+    return [F.md5(F.concat("market_key_a", F.lit("|"), "market_key_b")).alias("pair_key"), F.col("market_key_a"), F.col("market_key_b"), F.col("state_a"), F.col("state_b"), F.round(km, 2).alias("haversine_km"), F.round(km * s.road_factor, 2).alias("road_km_est"), precision.alias("pair_precision"), (F.col("state_a") == F.col("state_b")).alias("is_same_state")]
 
 
 def spreads(prices: DataFrame, pairs: DataFrame, s: Settings = Settings(), by: tuple[str, ...] = ("commodity", "date")) -> DataFrame:
@@ -27,14 +43,40 @@ def spreads(prices: DataFrame, pairs: DataFrame, s: Settings = Settings(), by: t
     a = prices.select(F.col("market_key").alias("market_key_a"), *by, F.col("modal_price").alias("price_a"))
     b = prices.select(F.col("market_key").alias("market_key_b"), *by, F.col("modal_price").alias("price_b"))
     x = p.join(a, "market_key_a").join(b, ["market_key_b", *by])
+    return _gaps(x)
+
+
+def _gaps(x: DataFrame) -> DataFrame:
     gap = F.abs(F.col("price_a") - F.col("price_b"))
     return x.withColumns({"abs_gap": gap, "pct_gap": F.round(gap / F.least("price_a", "price_b"), 4)})
 
 
+def day_spreads(prices: DataFrame, markets: DataFrame, s: Settings = Settings(), by: tuple[str, ...] = ("commodity", "date")) -> DataFrame:
+    """``spreads`` over the ``market_pairs`` of ``markets``, without a list of pairs: the prices of a day meet, and distance decides.
+
+    Pairs grow with the square of the markets, and each is on as many days as both report; here only the prices are shuffled, once and by ``by``, however many
+    spreads come of them, and the rows of a day stay in one task for what is counted by it."""
+    m = markets.filter(F.col("has_valid_data") & on_globe(F.col("latitude"), F.col("longitude"))).select("market_key", "state", "district", "geo_precision", "town_key", "latitude", F.when(F.col("longitude") == 180, F.lit(-180.0)).otherwise(F.col("longitude")).alias("longitude"))
+    x = prices.select("market_key", *by, F.col("modal_price").alias("price")).join(m, "market_key").repartition(*by)
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    x = x.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
+    side = lambda t: x.select(*by, *(F.col(c).alias(f"{c}_{t}") for c in x.columns if c not in by))
+    far = min(s.max_pair_km, (s.spread_km + 0.01) / s.road_factor)
+    chord = (2 * math.sin(far / EARTH_KM / 2)) ** 2 * (1 + 1e-6) + 1e-12  # a cheap bound that every pair within reach meets
+    square = lambda c: (F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b"))
+    km = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
+    a, b = side("a").alias("l"), side("b").alias("r")
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by]
+    for c in ((square("x") + square("y") + square("z") <= chord), F.col("market_key_a") < F.col("market_key_b"), _apart(), km <= s.max_pair_km, F.round(km * s.road_factor, 2) <= s.spread_km):
+        on.append(c)
+    both = a.join(b, on)
+    return _gaps(both.select(*_pair(km, s), *(F.col(f"l.{c}") for c in by), "price_a", "price_b"))
+
+
 def spread_days(spread: DataFrame) -> DataFrame:
     """Spreads by state and day; a pair across a border counts in both states."""
     cols = ["date", "commodity", "abs_gap", "pct_gap"]
-    sides = spread.select(*cols, F.col("state_a").alias("state")).unionByName(spread.filter(~F.col("is_same_state")).select(*cols, F.col("state_b").alias("state")))
+    sides = spread.select(*cols, F.explode(F.when(F.col("is_same_state"), F.array("state_a")).otherwise(F.array("state_a", "state_b"))).alias("state"))
     r = lambda c, q, n: F.round(F.percentile(c, q), n)
     return sides.groupBy("date", "commodity", "state").agg(F.count("*").alias("n_pairs"), r("abs_gap", 0.5, 4).alias("median_abs_gap"), r("abs_gap", 0.9, 4).alias("p90_abs_gap"), r("pct_gap", 0.5, 6).alias("median_pct_gap"), r("pct_gap", 0.9, 6).alias("p90_pct_gap"))
 
@@ -42,10 +84,10 @@ def spread_days(spread: DataFrame) -> DataFrame:
 def directed(spread: DataFrame, s: Settings = Settings(), rounded: bool = True) -> DataFrame:
     """Each spread in both directions under each cost scenario, with the gain net of costs. ``rounded`` rounds the costs to cents first."""
     keep = [c for c in ("pair_key", "date", "commodity", "variety", "road_km_est", "pair_precision") if c in spread.columns]
-    one = spread.select(*keep, F.col("market_key_a").alias("home_market_key"), F.col("market_key_b").alias("dest_market_key"), F.col("price_a").alias("price_home"), F.col("price_b").alias("price_dest"))
-    two = spread.select(*keep, F.col("market_key_b").alias("home_market_key"), F.col("market_key_a").alias("dest_market_key"), F.col("price_b").alias("price_home"), F.col("price_a").alias("price_dest"))
+    way = lambda a, b: F.struct(F.col(f"market_key_{a}").alias("home_market_key"), F.col(f"market_key_{b}").alias("dest_market_key"), F.col(f"price_{a}").alias("price_home"), F.col(f"price_{b}").alias("price_dest"))
+    ways = spread.select(*keep, F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select(*keep, "w.*")  # no union: the spreads are made once, and stay where they are
     scenario = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(a).alias("per_km"), F.lit(b).alias("fixed"), F.lit(c).alias("fee")) for k, (a, b, c) in s.scenarios.items())))
-    x = one.unionByName(two).withColumn("s", scenario).select("*", "s.*").drop("s")
+    x = ways.withColumn("s", scenario).select("*", "s.*").drop("s")
     dec = lambda c, n: F.col(c).cast(f"decimal(14,{n})")  # noqa: E731  decimals, so that halves of a cent are rounded alike everywhere
     if rounded:
         costs = {"transport_cost": F.round(dec("road_km_est", 2) * dec("per_km", 2) + dec("fixed", 2), 2).cast("double"), "fee_cost": F.round(dec("price_dest", 4) * dec("fee", 4), 2).cast("double")}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
+from ..util import cut, small
 
 SERIES = ["state", "district", "market", "commodity"]
 
@@ -36,12 +37,23 @@ def state_day(base: DataFrame) -> DataFrame:
 
 def flags(staged: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Staged records with deviations, flags and validity. Bounds of zero count as missing; order is only checked against present bounds; a series is
-    suspect as persistently low if enough of its valid rows are far below the state's median of the day."""
-    base = baseline(staged, s)
+    suspect as persistently low if enough of its valid rows are far below the state's median of the day.
+
+    The rows are shuffled once, by series; what a series' own days and rows tell is found by windows within it, and the medians of the states' days (a row
+    per state, commodity and day) are sent to them if there are few enough."""
+    states = small(cut(state_day(baseline(staged, s))))
     bound = (lambda c: F.when(F.col(c) > 0, F.col(c))) if s.zero_bounds_missing else F.col
     true = lambda c: F.coalesce(c, F.lit(False))
     p = staged.withColumns({"is_min_max_placeholder": true((F.col("min_price") <= 0) | (F.col("max_price") <= 0)), "min_price_raw": F.col("min_price"), "max_price_raw": F.col("max_price"), "min_price": bound("min_price"), "max_price": bound("max_price")})
-    p = p.join(rolling_median(base, s), [*SERIES, "arrival_date"], "left").join(state_day(base), ["state", "commodity", "arrival_date"], "left")
+    p = p.repartition(*SERIES)
+    day = Window.partitionBy(*SERIES, "arrival_date")
+    ok = (F.col("modal_price") > 0) & F.col("modal_price").between(s.price_min, s.price_max)
+    p = p.withColumns({"_base": F.median(F.when(ok, F.col("modal_price"))).over(day), "_rn": F.row_number().over(day.orderBy("raw_id"))})
+    # a day counts once, by its first row; days without a usable price have no history
+    p = trailing(p.withColumn("_once", F.when(F.col("_rn") == 1, F.col("_base"))), SERIES, "arrival_date", "_once", -s.outlier_days, -1)
+    has = F.col("_base").isNotNull()
+    p = p.withColumns({"rolling_median": F.when(has, F.col("trail_median")), "rolling_n_obs": F.when(has, F.col("trail_n"))}).drop("_base", "_rn", "_once", "trail_median", "trail_n")
+    p = p.join(states, ["state", "commodity", "arrival_date"], "left")
     far = lambda ref: F.abs(F.ln("modal_price") - F.ln(ref))
     p = p.withColumns(
         {
@@ -64,8 +76,8 @@ def flags(staged: DataFrame, s: Settings = Settings()) -> DataFrame:
     ).drop("n_markets")
     p = p.withColumn("is_valid", ~(F.col("flag_nonpositive") | F.col("flag_order") | F.col("flag_outlier") | F.col("flag_unit_suspect")))
     p = p.withColumn("is_low_vs_state", true(F.col("is_valid") & (F.col("modal_price") < F.col("state_median")) & (F.col("dev_state_day") > s.low_log_ratio)))
-    per = p.groupBy(*SERIES).agg(F.count_if("is_low_vs_state").alias("series_n_low"), F.count_if(F.col("is_valid") & F.col("dev_state_day").isNotNull()).alias("series_n_with_ref"))
-    p = p.join(per, SERIES)
+    series = Window.partitionBy(*SERIES)
+    p = p.withColumns({"series_n_low": F.count_if("is_low_vs_state").over(series), "series_n_with_ref": F.count_if(F.col("is_valid") & F.col("dev_state_day").isNotNull()).over(series)})
     return p.withColumn("flag_persistent_low", F.col("is_low_vs_state") & (F.col("series_n_low") >= s.low_min_rows) & (F.col("series_n_low") >= s.low_min_share * F.col("series_n_with_ref")))
 
 
@@ -76,6 +88,8 @@ def daily_prices(flagged: DataFrame) -> DataFrame:
     n_good = F.count_if(good)
     return (
         flagged.filter("is_valid")
+        .select(*SERIES, "arrival_date", "modal_price", "min_price", "max_price", "variety", "period", "source", "flag_persistent_low")
+        .repartition(*SERIES)  # the groups lie within series, so the distinct varieties need no further shuffle
         .groupBy(*SERIES, "arrival_date")
         .agg(
             F.median(pick("modal_price")).alias("modal_price"),

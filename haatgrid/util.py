@@ -35,11 +35,14 @@ _WRITTEN: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing the rows to the shared folder; they survive the loss of executors, and stay until ``release``."""
+    """Cut the lineage by writing the rows to the shared folder; they survive the loss of executors, and stay until ``release``.
+
+    The shuffle files of what was written are of no use then: the driver's garbage is collected at once, so that Spark deletes them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/haatgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ from haatgrid.settings import Settings
 from haatgrid.sources import files
 from haatgrid.sources.pages import pages
 from haatgrid.streaming import feed
+from haatgrid.util import cut
 
 D = dt.date(2024, 1, 1)
 RAW = "raw_id long, state string, district string, market string, commodity string, variety string, grade string, arrival_date date, min_price double, max_price double, modal_price double, source string, ingested_at timestamp"
@@ -228,3 +229,24 @@ def test_series_and_districts_without_data(spark):
     d = spark.createDataFrame([], "market_key string, commodity string, state string, date date, is_drop boolean")
     c = spark.createDataFrame([("Onion", "Vegetable")], "commodity string, category string")
     assert A.seasonality(p, d, c).count() == 0 and A.series_features(p, d).count() == 0 and A.volatility(p).count() == 0 and A.near_towns(p).count() == 0
+
+
+def test_spreads_of_a_day_need_no_pairs_and_one_shuffle(spark):
+    rnd = random.Random(5)
+    m = [(f"m{i}", rnd.choice("ST"), rnd.choice("DE"), rnd.choice(["manual", "district_centroid"]), f"t{i % 50}", 20 + rnd.random() * 2, rnd.choice([75 + rnd.random() * 2, 180.0, -180.0]), i % 9 > 0) for i in range(60)]
+    m = spark.createDataFrame(m, "market_key string, state string, district string, geo_precision string, town_key string, latitude double, longitude double, has_valid_data boolean")
+    x = prices(spark, [(f"m{i}", d, rnd.randint(500, 2500)) for i in range(60) for d in range(4) if rnd.random() < 0.7])
+    s = pairs.day_spreads(x, F.broadcast(m))
+    want = pairs.spreads(x, pairs.market_pairs(m))
+    cols = sorted(want.columns)
+    rows = lambda df: sorted(map(tuple, df.select(cols).collect()))
+    assert sorted(s.columns) == cols and rows(s) == rows(want) and want.count() > 100
+    plan = pairs.market_days(pairs.directed(s)).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(commodity") <= 2 and "Exchange hashpartitioning(home_market_key" not in plan.split("HashAggregate", 3)[-1] and "Union" not in plan
+
+
+def test_finished_shuffles_are_deleted_and_flags_shuffle_rows_once(spark):
+    s = clean.mapped(clean.scope(raw(spark, [(m, "Onion", d, 90, 110, 100) for m in "ABC" for d in range(10)])), known(spark, ["A", "B", "C"]))
+    plan = quality.flags(cut(s))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning" not in s._jdf.queryExecution().executedPlan().toString()
