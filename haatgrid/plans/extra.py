@@ -11,7 +11,7 @@ from ..functions.text import ratio_at_least
 from ..operators import checks, clean, drops, features, ml, star
 from ..sources import files
 from ..streaming import feed
-from ..util import cut, table
+from ..util import cut, small, table
 from .models import S, Pipeline, with_steps
 
 
@@ -48,10 +48,10 @@ def d17_spread_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d22_same_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market-days by comparisons within one variety, with costs that are not rounded: how many, how many of them opportunities, and the best gain."""
-    from ..operators.pairs import directed, spreads
+    from ..operators.pairs import day_spreads, directed
 
     p = Pipeline(spark, sf_dir)
-    x = directed(spreads(p.vprices, p.pairs, p.s, by=("commodity", "variety", "date")), p.s, rounded=False)
+    x = directed(day_spreads(p.vprices, small(p.markets), p.s, by=("commodity", "variety", "date")), p.s, rounded=False)
     return x.groupBy("home_market_key", "commodity", "date", "scenario").agg(
         F.count("*").alias("n_comparisons"), F.count_if("is_opportunity").alias("n_opportunities"), F.bool_or("is_opportunity").alias("has_opportunity"), F.countDistinct("variety").alias("n_varieties"), F.round(F.max("gain"), 4).alias("best_gain")
     )

@@ -250,3 +250,11 @@ def test_finished_shuffles_are_deleted_and_flags_shuffle_rows_once(spark):
     plan = quality.flags(cut(s))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning" not in s._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["d22_same_variety", "q3_same_variety_days"])
+def test_variety_spreads_make_no_list_of_pairs(spark, name, monkeypatch):
+    from haatgrid.plans import models, registry
+
+    monkeypatch.setattr(models.Pipeline, "_stored", lambda self, step, made=models.Pipeline._stored: pytest.fail("pairs are listed") if step in ("pairs", "spread") else made(self, step))
+    registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
