@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analyses as A
-from ..operators.pairs import directed, spreads
-from ..util import cut
+from ..operators.pairs import day_spreads, directed
+from ..util import cut, small
 from .models import _NEEDS, S, Pipeline, _sql, with_steps
 
 
+def q3_same_variety_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of pairs within one variety; its SQL is that of the saved query."""
+    p = Pipeline(spark, sf_dir)
+    x = day_spreads(p.vprices, small(p.markets), p.s, by=("commodity", "variety", "date")).withColumn("gap", F.col("abs_gap") / F.least("price_a", "price_b"))
+    return x.groupBy("commodity", "variety").agg(F.count("*").alias("n"), F.countDistinct("pair_key").alias("n_pairs"), F.round(F.median("gap"), 6).alias("median_gap"))
+
+
 def _round(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
@@ -104,7 +111,7 @@ def d32_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = _versions("q1", p.spread, p.spread.filter(both), c.spread, "commodity", "pct_gap", "abs_gap")
     tell("Q1", gaps, median_pct_gap=F.median("pct_gap") * 100, median_abs_gap=F.median("abs_gap"), p90_pct_gap=F.percentile("pct_gap", 0.9) * 100)
 
-    one = directed(spreads(p.vprices, p.pairs, p.s, by=("commodity", "variety", "date")), p.s, rounded=False)
+    one = directed(day_spreads(p.vprices, small(p.markets), p.s, by=("commodity", "variety", "date")), p.s, rounded=False)
     one = one.groupBy("home_market_key", "commodity", "date", "scenario").agg(F.bool_or("is_opportunity").alias("has_opportunity"), F.count_if("is_opportunity").alias("hits"), F.count("*").alias("n"))
     one = cut(one).withColumn("version", F.lit("d_same_variety"))
     precise = p.mday.filter("n_neighbors_market_precision > 0").withColumns({"has_opportunity": F.col("has_opportunity_market_precision"), "best_opportunity_gain": F.lit(None).cast("double")})
@@ -136,7 +143,7 @@ def d32_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.filter("value is not null").select("question", "metric", "commodity", "version", F.round("value", 3).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (q2_suspect_low, q3_rate, q3_concentration, q3_seasonality, q3_seasonality_by_month, q3_volatility, q3_volatility_by_commodity, q3_district_access, q3_access_summary, q4_cluster_features, sv_recent, d32_robustness)}
+QUERIES = {f.__name__: f for f in (q2_suspect_low, q3_same_variety_days, q3_rate, q3_concentration, q3_seasonality, q3_seasonality_by_month, q3_volatility, q3_volatility_by_commodity, q3_district_access, q3_access_summary, q4_cluster_features, sv_recent, d32_robustness)}
 
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * power(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))".format
 _VOL = f"""v1 as (select *, year(date) as yr, row_number() over w as rn, lag(date) over w as d0, lag(modal_price) over w as p0 from ap window w as (partition by market_key, commodity, year(date) order by date)),
