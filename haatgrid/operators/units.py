@@ -264,7 +264,8 @@ def narrow(prices: DataFrame, market_ids: DataFrame, anchor: DataFrame) -> DataF
     """Price rows as NARROW, one per row.
 
     ``source`` is a hash of the market under all its spellings, commodity, variety without unit endings and grade. ``market_ids`` (state,
-    district, market, market_id) and ``anchor`` are joined as the planner sees fit."""
+    district, market, market_id; a row per name) is joined by a 64-bit hash of the name, so that a broadcast of it holds two numbers a name; it and ``anchor`` are
+    joined as they are marked or the planner sees fit."""
     p = prices.select(
         "raw_id", "state", "district", "market", "commodity", plain_variety(F.col("variety")).alias("pv"), "grade", F.trunc("arrival_date", "month").alias("month"),
         F.unix_date("arrival_date").alias("day"), F.col("modal_price").alias("modal"), F.col("min_price").alias("low"), F.col("max_price").alias("high"),
@@ -272,8 +273,8 @@ def narrow(prices: DataFrame, market_ids: DataFrame, anchor: DataFrame) -> DataF
         (F.col("variety").isNotNull() & F.col("grade").isNotNull()).alias("named"),
     )
     names = ["state", "district", "market"]
-    ids = market_ids.select(*(F.col(c).alias(f"k_{c}") for c in names), "market_id")
-    p = p.join(ids, reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in names]), "left").drop(*(f"k_{c}" for c in names))
+    name = F.xxhash64(*(F.coalesce(c, F.lit("\0")) for c in names))
+    p = p.withColumn("name", name).join(market_ids.select(name.alias("name"), "market_id"), "name", "left")
     p = p.join(anchor, ["state", "commodity", "month"], "left")
     p = p.withColumns({"source": F.xxhash64(F.coalesce("market_id", F.xxhash64(*names)), "commodity", F.coalesce("pv", F.lit("\0")), F.coalesce("grade", F.lit("\0"))), "day": F.coalesce("day", F.lit(-1_000_000))})
     return p.select(*NARROW)
@@ -284,9 +285,10 @@ def by_source(rows: DataFrame) -> DataFrame:
 
     Repeated rows are collapsed, within tasks first and then spread over their whole content, before a source is brought together: a source is sorted in one task, but as
     a calendar of reports and their corrections, not as rows. ``first_id``, ``raw_id`` (the last one), ``ids_xor`` and ``copies`` stand for the rows of a report.
+    They are stored in between, so that the files of the two shuffles are never on disk together.
     """
     once = rows.groupBy(*CONTENT).agg(F.min("raw_id").alias("first_id"), F.max("raw_id").alias("raw_id"), F.bit_xor("raw_id").alias("ids_xor"), F.count("*").alias("copies"))
-    return once.repartition("source").sortWithinPartitions("source", "day", "raw_id")
+    return cut(once).repartition("source").sortWithinPartitions("source", "day", "raw_id")
 
 
 def reports(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:

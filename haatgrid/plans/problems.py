@@ -10,7 +10,7 @@ from ..operators.aliases import resolve_markets
 from ..operators.near import near_pairs, on_globe
 from ..operators.spikes import implausible
 from ..operators.units import anchors, narrow, other_units
-from ..util import cut, day_number, key_of_day, small, table
+from ..util import BROADCAST_LONGS, cut, day_number, key_of_day, small, table
 
 SERIES = ["market_key", "commodity_key"]
 
@@ -66,7 +66,7 @@ def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of mandi_prices ready for units and spikes. The register names every spelling that occurs."""
     prices = table(spark, sf_dir, "mandi_prices")
     ids = cut(resolve_markets(table(spark, sf_dir, "market_names"), table(spark, sf_dir, "dim_market")))
-    return narrow(prices, small(ids), small(cut(anchors(prices))))
+    return narrow(prices, small(ids, BROADCAST_LONGS), small(cut(anchors(prices))))
 
 
 def p3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

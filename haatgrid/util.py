@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows a side may have, by count, before it is sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
+#: The same for rows of two 64-bit numbers, which take about an eighth of the memory of rows with names.
+BROADCAST_LONGS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +40,15 @@ _WRITTEN: list[str] = []
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing the rows to the shared folder; they survive the loss of executors, and stay until ``release``.
 
-    The shuffle files of what was written are of no use then: the driver's garbage is collected at once, so that Spark deletes them."""
+    The shuffle files of what was written are of no use then: the driver's garbage is collected at once, so that Spark deletes them. It takes a second
+    collection, a moment later, to reach those of the plan just run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/haatgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.2, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,10 +70,10 @@ def release(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast if it has at most ``rows`` rows, and leave the join to shuffle otherwise.
+    """Mark a side for broadcast if it has at most ``rows`` rows, and for a join that shuffles otherwise, whatever the planner takes its size for.
 
     The count is exact; give it a stored frame (a source or the result of ``cut``)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def day_number(date_key):

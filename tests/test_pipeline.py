@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from haatgrid.settings import Settings
 from haatgrid.sources import files
 from haatgrid.sources.pages import pages
 from haatgrid.streaming import feed
-from haatgrid.util import cut
+from haatgrid.util import cut, small
 
 D = dt.date(2024, 1, 1)
 RAW = "raw_id long, state string, district string, market string, commodity string, variety string, grade string, arrival_date date, min_price double, max_price double, modal_price double, source string, ingested_at timestamp"
@@ -115,6 +116,32 @@ def test_resolve_markets(spark):
     assert resolve_markets(s.limit(0), m).count() == 0
 
 
+def test_resolve_markets_broadcasts_nothing(spark):
+    """The deletion neighbourhood has thirty rows a market, so its size can't be told from that of the table."""
+    m, s = cut(known(spark, ["Ambaganj", "Kolan"])), cut(known(spark, ["Ambaganj", "Kolam"]))  # files, whose size the planner knows
+    x = resolve_markets(s, m)
+    assert x.count() == 2 and "BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_side_is_not_broadcast(spark):
+    x, side = spark.range(5), spark.range(3)
+    plan = lambda rows: x.join(small(side, rows), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(3) and "BroadcastHashJoin" not in plan(2)
+
+
+def test_cut_frees_shuffle_files(spark):
+    """At most a moment after a frame is stored, the shuffle files of its plan are gone."""
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    known_shuffles = lambda: tracker.shuffleStatuses().size()
+    for _ in range(2):
+        cut(spark.range(1))
+        time.sleep(1)
+    before = known_shuffles()
+    x = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    time.sleep(1)
+    assert known_shuffles() <= before and x.count() == 7
+
+
 def test_dimension_counts_unlocated_markets_as_one_town(spark):
     s = known(spark, ["A", "B", "C", "E"]).withColumn("arrival_date", F.lit(D))
     geo = spark.createDataFrame([("S", "D", "A", 1.0, 2.0, "town"), ("S", "D", "B", 1.0, 2.0, "town")], "state string, district string, market string, latitude double, longitude double, geo_precision string")
