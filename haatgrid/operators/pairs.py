@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
+from ..util import cut, small
 from .near import EARTH_KM, haversine_km, near_pairs, on_globe
 
 
@@ -56,21 +57,57 @@ def day_spreads(prices: DataFrame, markets: DataFrame, s: Settings = Settings(),
 
     Pairs grow with the square of the markets, and each is on as many days as both report; here only the prices are shuffled, once and by ``by``, however many
     spreads come of them, and the rows of a day stay in one task for what is counted by it."""
+    x = _placed(prices, markets, by).repartition(*by)
+    both = _meet(x, x, by, min(s.max_pair_km, (s.spread_km + 0.01) / s.road_factor), F.col("market_key_a") < F.col("market_key_b"), _km() <= s.max_pair_km, F.round(_km() * s.road_factor, 2) <= s.spread_km)
+    return _gaps(both.select(*_pair(_km(), s), *(F.col(f"l.{c}") for c in by), "price_a", "price_b"))
+
+
+def _km() -> Column:
+    return haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
+
+
+def _placed(prices: DataFrame, markets: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Prices of located markets with where these are, as degrees and as points of the unit sphere."""
     m = markets.filter(F.col("has_valid_data") & on_globe(F.col("latitude"), F.col("longitude"))).select("market_key", "state", "district", "geo_precision", "town_key", "latitude", F.when(F.col("longitude") == 180, F.lit(-180.0)).otherwise(F.col("longitude")).alias("longitude"))
-    x = prices.select("market_key", *by, F.col("modal_price").alias("price")).join(m, "market_key").repartition(*by)
+    x = prices.select("market_key", *by, F.col("modal_price").alias("price")).join(m, "market_key")
     lat, lon = F.radians("latitude"), F.radians("longitude")
-    x = x.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
-    side = lambda t: x.select(*by, *(F.col(c).alias(f"{c}_{t}") for c in x.columns if c not in by))
-    far = min(s.max_pair_km, (s.spread_km + 0.01) / s.road_factor)
+    return x.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
+
+
+def _meet(x: DataFrame, y: DataFrame, by: tuple[str, ...], far: float, *more: Column) -> DataFrame:
+    """Rows of ``x`` (suffix a, alias l) and ``y`` (b, r) alike in ``by``, of different towns and at most about ``far`` km apart, for which ``more`` hold."""
+    side = lambda df, t: df.select(*by, *(F.col(c).alias(f"{c}_{t}") for c in df.columns if c not in by))
     chord = (2 * math.sin(far / EARTH_KM / 2)) ** 2 * (1 + 1e-6) + 1e-12  # a cheap bound that every pair within reach meets
     square = lambda c: (F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b"))
-    km = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
-    a, b = side("a").alias("l"), side("b").alias("r")
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by]
-    for c in ((square("x") + square("y") + square("z") <= chord), F.col("market_key_a") < F.col("market_key_b"), _apart(), km <= s.max_pair_km, F.round(km * s.road_factor, 2) <= s.spread_km):
-        on.append(c)
-    both = a.join(b, on)
-    return _gaps(both.select(*_pair(km, s), *(F.col(f"l.{c}") for c in by), "price_a", "price_b"))
+    return side(x, "a").alias("l").join(side(y, "b").alias("r"), [*on, square("x") + square("y") + square("z") <= chord, more[0], _apart(), *more[1:]])
+
+
+def near_prices(prices: DataFrame, markets: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Median price of the markets within ``near_km`` that report on the same day, or else a day off, and the number of those that do either: ``home, commodity, date,
+    neighbour_median, n``.
+
+    As in ``day_spreads`` no pairs are listed: prices are spread over the days about theirs, and those of a day meet by distance."""
+    by = ("commodity", "date")
+    x = _placed(prices, markets, by)
+    around = x.withColumn("d", F.explode(F.array(*(F.struct(F.date_add("date", k).alias("date"), F.lit(k).alias("off")) for k in (-1, 0, 1))))).withColumns({"date": F.col("d.date"), "off": F.col("d.off")}).drop("d")
+    both = _meet(x.repartition(*by), around.repartition(*by), by, s.near_km + 0.01, F.col("market_key_a") != F.col("market_key_b"), F.round(_km(), 2) <= s.near_km)
+    both = both.select(F.col("market_key_a").alias("home"), *(F.col(f"l.{c}") for c in by), "market_key_b", "off_b", "price_b")
+    g = both.groupBy("home", *by).agg(F.median(F.when(F.col("off_b") == 0, F.col("price_b"))).alias("same_day"), F.median("price_b").alias("around"), F.size(F.collect_set(F.xxhash64("market_key_b"))).cast("long").alias("n"))
+    return g.select("home", *by, F.coalesce("same_day", "around").alias("neighbour_median"), "n")
+
+
+def gap_figures(spread: DataFrame, markets: DataFrame) -> DataFrame:
+    """By commodity the days of pairs, their pairs, median and ninth decile of the gap, and the share of gaps of a fifth at least.
+
+    Pairs are counted as numbers of their markets, apart from the quantiles: in one aggregate the quantiles would be made by pair first and shuffled with its key."""
+    of = F.col("pct_gap")
+    g = spread.groupBy("commodity").agg(F.count("*").alias("n_pair_days"), F.round(F.percentile(of, 0.5), 6).alias("median_gap"), F.round(F.percentile(of, 0.9), 6).alias("p90_gap"), F.round(F.avg((of >= 0.2).cast("int")), 4).alias("share_20"))
+    number = cut(markets.select("market_key", F.row_number().over(Window.orderBy("market_key")).cast("long").alias("number")))  # a row per market
+    side = lambda t: small(number).select(F.col("market_key").alias(f"market_key_{t}"), F.col("number").alias(f"number_{t}"))
+    pair = spread.select("commodity", "market_key_a", "market_key_b").join(side("a"), "market_key_a").join(side("b"), "market_key_b").select("commodity", F.shiftleft("number_a", 32).bitwiseOR(F.col("number_b")).alias("pair"))
+    n = pair.distinct().groupBy("commodity").agg(F.count("*").alias("n_pairs"))
+    return g.join(n, "commodity").select("commodity", "n_pair_days", "n_pairs", "median_gap", "p90_gap", "share_20")
 
 
 def spread_days(spread: DataFrame) -> DataFrame:

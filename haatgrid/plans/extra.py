@@ -106,14 +106,11 @@ def sv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sv_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median price of near markets on the same day or a day off: days are spread over their neighbours, then joined by equality."""
+    """Median price of near markets on the same day or a day off."""
+    from ..operators.pairs import near_prices
+
     p = Pipeline(spark, sf_dir)
-    near = p.pairs.filter(F.col("haversine_km") <= S.near_km)
-    both = near.select(F.col("market_key_a").alias("home"), F.col("market_key_b").alias("other")).unionByName(near.select(F.col("market_key_b").alias("home"), F.col("market_key_a").alias("other")))
-    around = p.ap.select(F.col("market_key").alias("other"), "commodity", F.explode(F.array(*(F.struct(F.date_add("date", k).alias("date"), F.lit(k).alias("off")) for k in (-1, 0, 1)))).alias("d"), F.col("modal_price").alias("price")).select("other", "commodity", "d.*", "price")
-    x = p.ap.select(F.col("market_key").alias("home"), "commodity", "date", "modal_price").join(both, "home").join(around, ["other", "commodity", "date"])
-    g = x.groupBy("home", "commodity", "date", "modal_price").agg(F.median(F.when(F.col("off") == 0, F.col("price"))).alias("same_day"), F.median("price").alias("around"), F.countDistinct("other").alias("n"))
-    return g.select("home", "commodity", "date", F.coalesce("same_day", "around").alias("neighbour_median"), "n")
+    return near_prices(p.ap, small(p.markets), p.s)
 
 
 def ag_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:

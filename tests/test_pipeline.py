@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 import time
 
 import pytest
@@ -272,6 +273,32 @@ def test_spreads_of_a_day_need_no_pairs_and_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning(commodity") <= 2 and "Exchange hashpartitioning(home_market_key" not in plan.split("HashAggregate", 3)[-1] and "Union" not in plan
 
 
+def near_towns(spark, n=40):
+    rnd = random.Random(8)
+    m = [(f"m{i:02}", "S", "D", rnd.choice(["manual", "district_centroid"]), f"t{i % 30}", 20 + rnd.random(), 75 + rnd.random(), i % 9 > 0) for i in range(n)]
+    m = spark.createDataFrame(m, "market_key string, state string, district string, geo_precision string, town_key string, latitude double, longitude double, has_valid_data boolean")
+    return m, prices(spark, [(f"m{i:02}", d, rnd.randint(500, 2500)) for i in range(n) for d in range(4) if rnd.random() < 0.7])
+
+
+def test_near_prices_lists_no_pairs(spark):
+    m, x = near_towns(spark)
+    near = pairs.market_pairs(m).filter("haversine_km <= 50").select("market_key_a", "market_key_b").collect()
+    price = {(r["market_key"], r["date"]): r["modal_price"] for r in x.collect()}
+    others = {}
+    for a, b in near:
+        others.setdefault(a, []).append(b)
+        others.setdefault(b, []).append(a)
+    want = {}
+    for home, day in price:
+        seen = [(o, k, price[o, day + dt.timedelta(k)]) for o in others.get(home, []) for k in (-1, 0, 1) if (o, day + dt.timedelta(k)) in price]
+        if seen:
+            want[home, day] = (statistics.median([p for _, k, p in seen if k == 0] or [p for _, _, p in seen]), len({o for o, _, _ in seen}))
+    got = pairs.near_prices(x, F.broadcast(m))
+    assert {(r["home"], r["date"]): (r["neighbour_median"], r["n"]) for r in got.collect()} == want and len(want) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(commodity" in plan and "hashpartitioning(market_key_" not in plan and "hashpartitioning(home" not in plan  # what meets stays where it is
+
+
 def test_finished_shuffles_are_deleted_and_flags_shuffle_rows_once(spark):
     s = clean.mapped(clean.scope(raw(spark, [(m, "Onion", d, 90, 110, 100) for m in "ABC" for d in range(10)])), known(spark, ["A", "B", "C"]))
     plan = quality.flags(cut(s))._jdf.queryExecution().executedPlan().toString()
