@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analyses as A
-from ..operators.pairs import day_spreads, directed
+from ..operators.pairs import day_spreads, directed, gap_figures
 from ..util import cut, small
 from .models import _NEEDS, S, Pipeline, _sql, with_steps
 
@@ -21,6 +21,12 @@ def q3_same_variety_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("commodity", "variety").agg(F.count("*").alias("n"), F.countDistinct("pair_key").alias("n_pairs"), F.round(F.median("gap"), 6).alias("median_gap"))
 
 
+def q3_gap_by_commodity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of pairs; its SQL is that of the saved query."""
+    p = Pipeline(spark, sf_dir)
+    return gap_figures(p.spread, p.markets)
+
+
 def _round(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
@@ -143,7 +149,7 @@ def d32_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.filter("value is not null").select("question", "metric", "commodity", "version", F.round("value", 3).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (q2_suspect_low, q3_same_variety_days, q3_rate, q3_concentration, q3_seasonality, q3_seasonality_by_month, q3_volatility, q3_volatility_by_commodity, q3_district_access, q3_access_summary, q4_cluster_features, sv_recent, d32_robustness)}
+QUERIES = {f.__name__: f for f in (q2_suspect_low, q3_gap_by_commodity, q3_same_variety_days, q3_rate, q3_concentration, q3_seasonality, q3_seasonality_by_month, q3_volatility, q3_volatility_by_commodity, q3_district_access, q3_access_summary, q4_cluster_features, sv_recent, d32_robustness)}
 
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * power(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))".format
 _VOL = f"""v1 as (select *, year(date) as yr, row_number() over w as rn, lag(date) over w as d0, lag(modal_price) over w as p0 from ap window w as (partition by market_key, commodity, year(date) order by date)),

@@ -299,6 +299,14 @@ def test_near_prices_lists_no_pairs(spark):
     assert "hashpartitioning(commodity" in plan and "hashpartitioning(market_key_" not in plan and "hashpartitioning(home" not in plan  # what meets stays where it is
 
 
+def test_gap_figures_count_pairs_apart(spark):
+    m, x = near_towns(spark)
+    s = pairs.day_spreads(x, F.broadcast(m))
+    got = pairs.gap_figures(s, m)
+    assert [r["n_pairs"] for r in got.collect()] == [r["n"] for r in s.groupBy("commodity").agg(F.countDistinct("pair_key").alias("n")).collect()]
+    assert "md5" not in got._jdf.queryExecution().executedPlan().toString()  # no names of pairs are made or shuffled
+
+
 def test_finished_shuffles_are_deleted_and_flags_shuffle_rows_once(spark):
     s = clean.mapped(clean.scope(raw(spark, [(m, "Onion", d, 90, 110, 100) for m in "ABC" for d in range(10)])), known(spark, ["A", "B", "C"]))
     plan = quality.flags(cut(s))._jdf.queryExecution().executedPlan().toString()
