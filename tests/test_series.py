@@ -202,3 +202,12 @@ def test_clues(spark):
     assert {r["t"]: ([None, *UNITS][r["c"]]) for r in df.collect()} == told
     v = spark.createDataFrame([("Other [kg rate]",), ("Bold /20Kg",), ("Nasal Lal - per Kg",), ("White (Rs/kg)",), ("Lot (A)",), (None,)], "v string").select(units.plain_variety(F.col("v")).alias("p"))
     assert [r["p"] for r in v.collect()] == ["Other", "Bold", "Nasal Lal", "White", "Lot (A)", None]
+
+
+def test_ids_of_markets_are_joined_as_numbers(spark):
+    """A broadcast of the names themselves takes eight times the driver's memory."""
+    rows, *_ = made(days=3)
+    p = spark.createDataFrame(rows, SCHEMA)
+    ids = p.select("state", "district", "market").distinct().withColumn("market_id", F.xxhash64("market"))
+    plan = narrow(p, F.broadcast(ids), anchors(p))._jdf.queryExecution().executedPlan().toString()
+    assert "HashedRelationBroadcastMode(List(input[0, bigint" in plan and "k_market" not in plan
