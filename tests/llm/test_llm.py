@@ -9,9 +9,10 @@ pytest.importorskip("haatgrid.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from haatgrid.functions.names import fold, split_name  # noqa: E402
 from haatgrid.llm.leaks import align_many, leaked  # noqa: E402
 from haatgrid.llm.mixing import entropy, exponent_for_entropy, mix, mix_shares, plan_mix, temper, tempered_targets, token_counter  # noqa: E402
-from haatgrid.llm.names import _assignment, align, edits, index_keys, link_names, name_cost, same_entity_pairs  # noqa: E402
+from haatgrid.llm.names import _assignment, align, edits, edits_of_all, index_keys, link_names, name_cost, same_entity_pairs  # noqa: E402
 from haatgrid.llm.quantiles import Sketch, merge_sketches, percentiles, rank_error, sketch_groups  # noqa: E402
 from haatgrid.llm.subjects import subject_shares  # noqa: E402
 from haatgrid.llm.text import plain, sentences, streams, wording  # noqa: E402
@@ -146,6 +147,35 @@ def test_link_names(spark):
     assert link_names(n.limit(0), reg).count() == 0
 
 
+def test_names_meet_by_district_not_by_key(spark, monkeypatch):
+    """Neither keys nor pairs of a state are shuffled, and districts dealt into several blocks give the same links."""
+    from haatgrid.llm import names
+
+    rnd, towns, plans = random.Random(4), ["Duniravar", "Duniraval", "Shahelivar", "Wadatithal", "Goruluvar", "Mehronogarh"], []
+    reg = [("S", t, m) for t in towns for m in ("Ambaganj", "Ambiganj", "Kolanwadi", "Sultanpur Lodhi")]
+    typed = [(i, "S", (t := list(rnd.choice(towns))) and "".join(t[:-1] if rnd.random() < 0.3 else t), rnd.choice(["Ambagnaj", "Kolanwadi APMC", "S. Lodhi", "Ambeganj", "Nowhere"])) for i in range(60)]
+    reg, typed = spark.createDataFrame(reg, "state string, district string, market string"), spark.createDataFrame(typed, "name_id long, state string, district string, market string")
+    monkeypatch.setattr(names, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    links = lambda: sorted(map(tuple, link_names(typed, reg).collect()), key=str)
+    got = links()
+    assert not any("explode(keys" in p for p in plans) and any("FlatMapCoGroupsInArrow" in p for p in plans)
+    want = {}
+    for i, _, d, m in typed.collect():
+        tokens = lambda x: [*(s := split_name(x))[0].split(), *s[1].split()]
+        costs = [(0.6 * edits(fold(d.lower()), fold(t.lower())) + name_cost(tokens(m), tokens(x)), f"S|{t}|{x}") for _, t, x in map(tuple, reg.collect()) if index_keys(split_name(m)[0]) & index_keys(split_name(x)[0])]
+        want[i] = min([c for c in costs if c[0] <= 3.6], default=None)
+    assert {i: (c, e) for i, e, c in got if c is not None} == {i: c for i, c in want.items() if c} and len({i for i, c in want.items() if c}) > 30
+    monkeypatch.setattr(names, "BLOCK_ENTITIES", 2)
+    monkeypatch.setattr(names, "BLOCK_NAMES", 3)
+    assert links() == got
+
+
+def test_edits_of_many_pairs():
+    rnd = random.Random(6)
+    a, b = (["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7))) for _ in range(400)] for _ in "ab")
+    assert edits_of_all(a, b).tolist() == [edits(x, y) for x, y in zip(a, b)] and edits_of_all([], []).tolist() == [] and edits_of_all([""], [""]).tolist() == [0]
+
+
 # leaks
 
 
