@@ -70,11 +70,15 @@ def deletes(s: str, most: int = 2, head: int = 7) -> list[str]:
     return sorted(out)
 
 
-@F.pandas_udf(T.StructType([T.StructField("place", T.StringType()), T.StructField("qualifier", T.StringType()), T.StructField("folded", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))]))
+@F.pandas_udf(T.StructType([T.StructField("place", T.StringType()), T.StructField("qualifier", T.StringType()), T.StructField("folded", T.StringType())]))
 def name_parts(names: pd.Series) -> pd.DataFrame:
     parts = [split_name(x) for x in names]
-    folded = [fold(p) for p, _ in parts]
-    return pd.DataFrame({"place": [p for p, _ in parts], "qualifier": [q for _, q in parts], "folded": folded, "keys": [deletes(f) for f in folded]})
+    return pd.DataFrame({"place": [p for p, _ in parts], "qualifier": [q for _, q in parts], "folded": [fold(p) for p, _ in parts]})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def neighbourhood(folded: pd.Series) -> pd.Series:
+    return pd.Series([deletes(x) for x in folded], dtype=object)
 
 
 @F.pandas_udf(T.StringType())

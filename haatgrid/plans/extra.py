@@ -26,9 +26,9 @@ def d3_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d4_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of spellings of one state and district that are alike (edit similarity of at least 0.8) and whose spans of dates do not overlap. Only names
     that share an entry of the deletion neighbourhood are compared, and nothing is merged: the review merge D4 is not built (see README)."""
-    from ..functions.names import name_parts
+    from ..functions.names import name_parts, neighbourhood
 
-    n = table(spark, sf_dir, "market_names").withColumn("p", name_parts("market")).select("name_id", "state", "district", "market", "first_date", "last_date", F.col("p.folded").alias("folded"), F.col("p.qualifier").alias("q"), F.explode("p.keys").alias("key"))
+    n = table(spark, sf_dir, "market_names").withColumn("p", name_parts("market")).select("name_id", "state", "district", "market", "first_date", "last_date", F.col("p.folded").alias("folded"), F.col("p.qualifier").alias("q"), F.explode(neighbourhood(F.col("p.folded"))).alias("key"))
     a, b = n.alias("a"), n.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("state", "district", "q", "key")]
     pairs = a.join(b, same[0] & same[1] & same[2] & same[3] & (F.col("a.name_id") < F.col("b.name_id")))

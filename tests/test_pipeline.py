@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import statistics
 import time
 
@@ -124,6 +125,17 @@ def test_resolve_markets_broadcasts_nothing(spark):
     assert x.count() == 2 and "BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString()
 
 
+def test_spellings_meet_markets_of_near_districts_only(spark):
+    """By state alone the candidates grow with the square of its names."""
+    m = spark.createDataFrame([("S", d, "Ambaganj") for d in ("Duniravar", "Duniraval", "Goruluvar")], "state string, district string, market string")
+    s = spark.createDataFrame([("S", "Duniravr", "Ambagnaj"), ("S", "Goruluvr", "Ambagnaj"), ("S", "Elsewhere", "Ambagnaj")], m.schema)
+    x = resolve_markets(s, m)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(fs#\d+, kd#\d+, q#\d+, key#\d+", plan) and "first(" not in plan  # nor are candidates shuffled to tell repeats
+    ids, known_ids = ({r["district"]: r["market_id"] for r in df.collect()} for df in (x, resolve_markets(m, m)))
+    assert ids["Duniravr"] == known_ids["Duniravar"] and ids["Goruluvr"] == known_ids["Goruluvar"] and ids["Elsewhere"] not in known_ids.values()
+
+
 def test_large_side_is_not_broadcast(spark):
     x, side = spark.range(5), spark.range(3)
     plan = lambda rows: x.join(small(side, rows), "id")._jdf.queryExecution().executedPlan().toString()
