@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,8 +59,10 @@ def day_spreads(prices: DataFrame, markets: DataFrame, s: Settings = Settings(),
     Pairs grow with the square of the markets, and each is on as many days as both report; here only the prices are shuffled, once and by ``by``, however many
     spreads come of them, and the rows of a day stay in one task for what is counted by it."""
     x = _placed(prices, markets, by).repartition(*by)
-    both = _meet(x, x, by, min(s.max_pair_km, (s.spread_km + 0.01) / s.road_factor), F.col("market_key_a") < F.col("market_key_b"), _km() <= s.max_pair_km, F.round(_km() * s.road_factor, 2) <= s.spread_km)
-    return _gaps(both.select(*_pair(_km(), s), *(F.col(f"l.{c}") for c in by), "price_a", "price_b"))
+    by_road = (s.spread_km + 0.01) / s.road_factor  # km beyond which no road is short enough
+    near = [_km() <= s.max_pair_km] if by_road >= s.max_pair_km else []
+    both = _meet(x, x, by, min(s.max_pair_km, by_road), F.col("market_key_a") < F.col("market_key_b"), *near, F.round(_km() * s.road_factor, 2) <= s.spread_km)
+    return _gaps(both.select(*_pair(_km(), s), *by, "price_a", "price_b"))
 
 
 def _km() -> Column:
@@ -75,12 +78,25 @@ def _placed(prices: DataFrame, markets: DataFrame, by: tuple[str, ...]) -> DataF
 
 
 def _meet(x: DataFrame, y: DataFrame, by: tuple[str, ...], far: float, *more: Column) -> DataFrame:
-    """Rows of ``x`` (suffix a, alias l) and ``y`` (b, r) alike in ``by``, of different towns and at most about ``far`` km apart, for which ``more`` hold."""
-    side = lambda df, t: df.select(*by, *(F.col(c).alias(f"{c}_{t}") for c in df.columns if c not in by))
+    """Rows of ``x`` (suffix a) and ``y`` (suffix b) alike in ``by``, of different towns and at most about ``far`` km apart, for which ``more`` hold.
+
+    The rows of a cube of space, which has the reach as its edge, meet those of the same and the adjacent cubes as lists, so that few rows are compared that
+    are out of reach. Lists are made behind the shuffle by ``by``, which the join keeps to: cubes as its keys would shuffle once more."""
     chord = (2 * math.sin(far / EARTH_KM / 2)) ** 2 * (1 + 1e-6) + 1e-12  # a cheap bound that every pair within reach meets
+    edge = math.sqrt(chord) * (1 + 1e-6)
+    cells = [f"cell_{c}" for c in "xyz"]
+
+    def lists(df: DataFrame, t: str) -> DataFrame:
+        row = F.struct(*(F.col(c).alias(f"{c}_{t}") for c in df.columns if c not in by))
+        return df.groupBy(*by, *(F.floor(F.col(c) / edge).alias(f"cell_{c}") for c in "xyz")).agg(F.collect_list(row).alias(f"rows_{t}"))
+
+    adjacent = [F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= 1 for c in cells]
+    met = lists(x, "a").alias("l").join(lists(y, "b").alias("r"), [*(F.col(f"l.{c}") == F.col(f"r.{c}") for c in by), *adjacent]).select(*(F.col(f"l.{c}") for c in by), "rows_a", "rows_b")
+    both = met.select(*by, "rows_b", F.explode("rows_a").alias("row_a")).select(*by, "row_a", F.explode("rows_b").alias("row_b")).select(*by, "row_a.*", "row_b.*")
     square = lambda c: (F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b"))
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by]
-    return side(x, "a").alias("l").join(side(y, "b").alias("r"), [*on, square("x") + square("y") + square("z") <= chord, more[0], _apart(), *more[1:]])
+    for condition in (square("x") + square("y") + square("z") <= chord, more[0], _apart(), *more[1:]):
+        both = both.filter(condition)
+    return both
 
 
 def near_prices(prices: DataFrame, markets: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -92,7 +108,7 @@ def near_prices(prices: DataFrame, markets: DataFrame, s: Settings = Settings())
     x = _placed(prices, markets, by)
     around = x.withColumn("d", F.explode(F.array(*(F.struct(F.date_add("date", k).alias("date"), F.lit(k).alias("off")) for k in (-1, 0, 1))))).withColumns({"date": F.col("d.date"), "off": F.col("d.off")}).drop("d")
     both = _meet(x.repartition(*by), around.repartition(*by), by, s.near_km + 0.01, F.col("market_key_a") != F.col("market_key_b"), F.round(_km(), 2) <= s.near_km)
-    both = both.select(F.col("market_key_a").alias("home"), *(F.col(f"l.{c}") for c in by), "market_key_b", "off_b", "price_b")
+    both = both.select(F.col("market_key_a").alias("home"), *by, "market_key_b", "off_b", "price_b")
     g = both.groupBy("home", *by).agg(F.median(F.when(F.col("off_b") == 0, F.col("price_b"))).alias("same_day"), F.median("price_b").alias("around"), F.size(F.collect_set(F.xxhash64("market_key_b"))).cast("long").alias("n"))
     return g.select("home", *by, F.coalesce("same_day", "around").alias("neighbour_median"), "n")
 
@@ -119,22 +135,34 @@ def spread_days(spread: DataFrame) -> DataFrame:
 
 
 def directed(spread: DataFrame, s: Settings = Settings(), rounded: bool = True) -> DataFrame:
-    """Each spread in both directions under each cost scenario, with the gain net of costs. ``rounded`` rounds the costs to cents first."""
+    """Each spread in both directions under each cost scenario, with the gain net of costs. ``rounded`` rounds the costs to cents first.
+
+    Rounded costs are made of whole numbers, so that halves of a cent are rounded alike everywhere: hundredths of a kilometre and ten-thousandths of the
+    currency, which each spread is turned into once, for all its directions and scenarios."""
     keep = [c for c in ("pair_key", "date", "commodity", "variety", "road_km_est", "pair_precision") if c in spread.columns]
-    way = lambda a, b: F.struct(F.col(f"market_key_{a}").alias("home_market_key"), F.col(f"market_key_{b}").alias("dest_market_key"), F.col(f"price_{a}").alias("price_home"), F.col(f"price_{b}").alias("price_dest"))
-    ways = spread.select(*keep, F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select(*keep, "w.*")  # no union: the spreads are made once, and stay where they are
-    scenario = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(a).alias("per_km"), F.lit(b).alias("fixed"), F.lit(c).alias("fee")) for k, (a, b, c) in s.scenarios.items())))
+    whole = lambda c, n: F.rint(F.round(c, n) * 10**n).cast("long")
+    x = spread.withColumns({"whole_km": whole("road_km_est", 2), "whole_a": whole("price_a", 4), "whole_b": whole("price_b", 4)}) if rounded else spread
+    also = ["whole_km"] if rounded else []
+    way = lambda a, b: F.struct(F.col(f"market_key_{a}").alias("home_market_key"), F.col(f"market_key_{b}").alias("dest_market_key"), F.col(f"price_{a}").alias("price_home"), F.col(f"price_{b}").alias("price_dest"), *([F.col(f"whole_{b}").alias("whole_dest")] if rounded else []))
+    ways = x.select(*keep, *also, F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select(*keep, *also, "w.*")  # no union: the spreads are made once, and stay where they are
+    of = lambda v, n: F.lit(int((Decimal(str(v)) * 10**n).to_integral_value(ROUND_HALF_UP))).cast("long") if rounded else F.lit(v)
+    scenario = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), of(a, 2).alias("per_km"), of(b, 2).alias("fixed"), of(c, 4).alias("fee")) for k, (a, b, c) in s.scenarios.items())))
     x = ways.withColumn("s", scenario).select("*", "s.*").drop("s")
-    dec = lambda c, n: F.col(c).cast(f"decimal(14,{n})")  # noqa: E731  decimals, so that halves of a cent are rounded alike everywhere
     if rounded:
-        costs = {"transport_cost": F.round(dec("road_km_est", 2) * dec("per_km", 2) + dec("fixed", 2), 2).cast("double"), "fee_cost": F.round(dec("price_dest", 4) * dec("fee", 4), 2).cast("double")}
+        costs = {"transport_cost": _cents(F.col("whole_km") * F.col("per_km") + F.col("fixed") * 100, 2), "fee_cost": _cents(F.col("whole_dest") * F.col("fee"), 6)}
     else:
         costs = {"transport_cost": F.col("road_km_est") * F.col("per_km") + F.col("fixed"), "fee_cost": F.col("price_dest") * F.col("fee")}
-    x = x.withColumns(costs).drop("per_km", "fixed", "fee")
+    x = x.withColumns(costs).drop("per_km", "fixed", "fee", "whole_km", "whole_dest")
     x = x.withColumn("gain", F.col("price_dest") - F.col("transport_cost") - F.col("fee_cost") - F.col("price_home"))
     return x.withColumns({"gain_pct": F.col("gain") / F.col("price_home"), "is_opportunity": (F.col("gain") >= s.gain_min) & (F.col("gain") / F.col("price_home") >= s.gain_min_share)})
 
 
+def _cents(n: Column, digits: int) -> Column:
+    """Whole ``n`` of 10 ** (-2 - digits) as currency, rounded half up to cents."""
+    half = 10**digits // 2
+    return F.call_function("div", n + F.when(n < 0, -half).otherwise(half), F.lit(10**digits).cast("long")).cast("double") / 100
+
+
 def market_days(directed_: DataFrame) -> DataFrame:
     """Directed comparisons by home market, day and scenario."""
     opp, sure = F.col("is_opportunity"), F.col("pair_precision") == "both_market"

@@ -41,7 +41,7 @@ def q3_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q3_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(A.concentration(Pipeline(spark, sf_dir).directed), share=4)
+    return _round(A.concentration(Pipeline(spark, sf_dir).directed_under("mid")), share=4)
 
 
 def _season(p: Pipeline) -> DataFrame:

@@ -332,3 +332,41 @@ def test_variety_spreads_make_no_list_of_pairs(spark, name, monkeypatch):
 
     monkeypatch.setattr(models.Pipeline, "_stored", lambda self, step, made=models.Pipeline._stored: pytest.fail("pairs are listed") if step in ("pairs", "spread") else made(self, step))
     registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+
+
+@pytest.mark.parametrize("km", [5.0, 30.0, 100.0])
+def test_only_near_cubes_of_a_day_are_compared(spark, km):
+    m, x = near_towns(spark, 60)
+    s = Settings(spread_km=km)
+    got, cols = pairs.day_spreads(x, F.broadcast(m), s), ["pair_key", "date", "price_a", "price_b", "road_km_est", "pct_gap"]
+    rows = lambda df: sorted(map(tuple, df.select(cols).collect()))
+    want = rows(pairs.spreads(x, pairs.market_pairs(m, s), s))
+    assert rows(got) == want and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join [commodity" in line)
+    assert all(f"cell_{c}" in join for c in "xyz") and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_costs_are_whole_numbers_rounded_half_up(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rnd = random.Random(9)
+    rows = [(str(i), dt.date(2024, 1, 1), "Onion", "a", "b", round(rnd.random() * 100, 2), "both_market", round(rnd.random() * 9000 + 50, rnd.choice([0, 1, 2, 3, 4])), rnd.choice([1000.125, 833.25, 62.5, 20000.0])) for i in range(400)]
+    s = spark.createDataFrame(rows, "pair_key string, date date, commodity string, market_key_a string, market_key_b string, road_km_est double, pair_precision string, price_a double, price_b double")
+    cents = lambda v: float(v.quantize(Decimal("0.01"), ROUND_HALF_UP))
+    d, of, costs = pairs.directed(s), {r[0]: r for r in rows}, Settings().scenarios
+    got = d.collect()
+    assert len(got) == 2400
+    for r in got:
+        per_km, fixed, fee = (Decimal(str(v)) for v in costs[r["scenario"]])
+        assert r["transport_cost"] == cents(Decimal(str(of[r["pair_key"]][5])) * per_km + fixed) and r["fee_cost"] == cents(Decimal(str(r["price_dest"])) * fee)
+        assert r["gain"] == r["price_dest"] - r["transport_cost"] - r["fee_cost"] - r["price_home"]
+    assert "decimal" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["q3_concentration"])
+def test_one_scenario_is_compared_where_one_is_asked_for(spark, name):
+    from haatgrid.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[mid," in plan and "low," not in plan and "high," not in plan
