@@ -130,6 +130,12 @@ def concentration(directed: DataFrame, scenario: str = "mid") -> DataFrame:
     return r.withColumn("c", F.explode(F.array(*(F.struct(F.lit(k).alias("slice"), v.cast("long").alias("upto")) for k, v in cuts.items())))).filter(F.col("rank") <= F.col("c.upto")).groupBy("c.slice").agg((F.sum("n") / F.max("all")).alias("share"))
 
 
+def gain_histogram(market_days: DataFrame) -> DataFrame:
+    """Market-days with an opportunity by commodity and hundreds of their best gain, those of 2,000 and more together."""
+    gain = F.least(F.floor(F.col("best_gain") / 100) * 100, F.lit(2000)).cast("int").alias("gain_from")
+    return market_days.filter("has_opportunity").groupBy("commodity", gain).agg(F.count("*").alias("n_market_days"))
+
+
 def opportunity_rates(directed: DataFrame, market_days: DataFrame) -> DataFrame:
     """By scenario and commodity: the share of market-days and of single comparisons with an opportunity, the median of the market-days' best gains, and the mean number of neighbours."""
     m = market_days.groupBy("scenario", "commodity").agg(F.count("*").alias("n_market_days"), _rate(F.col("has_opportunity")).alias("market_day_rate"), F.median("best_opportunity_gain").alias("median_best_gain"), F.avg("n_neighbors_reporting").alias("avg_neighbors"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analyses as A
-from ..operators.pairs import day_spreads, directed, gap_figures
+from ..operators.pairs import day_spreads, directed, gap_figures, market_days
 from ..util import cut, small
 from .models import _NEEDS, S, Pipeline, _sql, with_steps
 
@@ -44,6 +44,11 @@ def q3_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(A.concentration(Pipeline(spark, sf_dir).directed_under("mid")), share=4)
 
 
+def q3_gain_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market-days with an opportunity by their best gain; its SQL is that of the saved query."""
+    return A.gain_histogram(market_days(Pipeline(spark, sf_dir).directed_under("mid")))
+
+
 def _season(p: Pipeline) -> DataFrame:
     return A.seasonality(p.ap, p.drops, p.dim_commodity)
 
@@ -149,7 +154,7 @@ def d32_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.filter("value is not null").select("question", "metric", "commodity", "version", F.round("value", 3).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (q2_suspect_low, q3_gap_by_commodity, q3_same_variety_days, q3_rate, q3_concentration, q3_seasonality, q3_seasonality_by_month, q3_volatility, q3_volatility_by_commodity, q3_district_access, q3_access_summary, q4_cluster_features, sv_recent, d32_robustness)}
+QUERIES = {f.__name__: f for f in (q2_suspect_low, q3_gap_by_commodity, q3_same_variety_days, q3_rate, q3_concentration, q3_gain_histogram, q3_seasonality, q3_seasonality_by_month, q3_volatility, q3_volatility_by_commodity, q3_district_access, q3_access_summary, q4_cluster_features, sv_recent, d32_robustness)}
 
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * power(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))".format
 _VOL = f"""v1 as (select *, year(date) as yr, row_number() over w as rn, lag(date) over w as d0, lag(modal_price) over w as p0 from ap window w as (partition by market_key, commodity, year(date) order by date)),

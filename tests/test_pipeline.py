@@ -364,7 +364,7 @@ def test_costs_are_whole_numbers_rounded_half_up(spark):
     assert "decimal" not in d._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q3_concentration"])
+@pytest.mark.parametrize("name", ["q3_concentration", "q3_gain_histogram"])
 def test_one_scenario_is_compared_where_one_is_asked_for(spark, name):
     from haatgrid.plans import registry
 
